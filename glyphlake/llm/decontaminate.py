@@ -50,13 +50,16 @@ def benchmark_seeds(benchmark: DataFrame, item_id: str = "item_id", text: str =
     return at.select("item_id", "item", "item_at", F.explode(_seeds(F.col("item"), F.col("item_at"))).alias("seed")).where("seed is not null").distinct()
 
 
-def _overlap(doc: Column, at: Column, item: Column, item_at: Column) -> Column:
-    """Most agreeing tokens in a window of WINDOW aligned tokens (of the whole item, if shorter) that holds the hit."""
-    before = WINDOW - SPAN
-    bits = [F.when(F.get(doc, at + j) == F.get(item, item_at + j), F.lit(1 << (j + before)).cast("long")).otherwise(F.lit(0).cast("long")) for j in range(-before, WINDOW)]
-    agreeing = reduce(lambda a, b: a.bitwiseOR(b), bits)
-    windows = [F.lit(((1 << WINDOW) - 1) << s) for s in range(before + 1)]
-    return F.get(F.transform(F.array(agreeing), lambda x: F.greatest(*[F.bit_count(x.bitwiseAND(w)) for w in windows])), F.lit(0))
+def _around(tokens: Column, at: Column) -> Column:
+    """WINDOW + WINDOW - SPAN tokens around a hit; places outside of the text are null."""
+    return F.array(*[F.get(tokens, at + j) for j in range(SPAN - WINDOW, WINDOW)])
+
+
+def _agreeing(doc: Column, item: Column) -> Column:
+    """Most agreeing tokens in WINDOW aligned tokens that hold the hit, of all such windows."""
+    equal = F.zip_with(doc, item, lambda a, b: F.when(a == b, 1).otherwise(0))
+    in_window = lambda s: F.aggregate(F.slice(equal, s, F.lit(WINDOW)), F.lit(0), lambda n, x: n + x)
+    return F.array_max(F.transform(F.sequence(F.lit(1), F.lit(WINDOW - SPAN + 1)), in_window))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_seeds: int = MAX_SEEDS) -> DataFrame:
@@ -82,17 +85,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     blocks = max(1, -(-seeds.count() // max_seeds))
     found = [_search(docs, seeds.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == b) if blocks > 1 else seeds, doc_id, text) for b in range(blocks)]
     hits = reduce(DataFrame.unionByName, found)
-    return hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.min("at").alias("first_token"), F.max("at").alias("last_token"), F.max("agreeing").alias("agreeing"))
+    return hits.groupBy("doc_id", "item_id").agg(F.count("hit").alias("hits"), F.min("at").alias("first_token"), F.max("at").alias("last_token"), F.max("agreeing").alias("agreeing"))
 
 
 def _search(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Verified hits: ``doc_id, item_id, at, hit, agreeing``.
+
+    Positions and masks are one sequence of numbers, so that generating, hashing
+    and probing fuse into one code-generated stage; only hits leave it, with the
+    tokens around them. What follows uses lambdas, which Spark interprets: the
+    number of the row (``hit``) keeps it from being moved into the join.
+    """
+    k = len(MASKS)
     tokens = docs.select(F.col(doc_id).alias("doc_id"), token_hashes(F.col(text)).alias("doc"))
-    at = tokens.select("doc_id", "doc", F.posexplode_outer("doc").alias("at", "_"))
-    probes = at.select("doc_id", "doc", "at", F.explode_outer(_seeds(F.col("doc"), F.col("at"))).alias("seed"))
-    length = F.least(F.lit(WINDOW), F.size("item"))
-    return (
-        probes.join(F.broadcast(seeds), "seed")
-        .select("doc_id", "item_id", "at", length.alias("length"), _overlap(F.col("doc"), F.col("at"), F.col("item"), F.col("item_at")).alias("agreeing"))
-        .where(F.col("agreeing") >= F.ceil(F.col("length") * F.lit(AGREE)))
-        .drop("length")
-    )
+    shortest = min(m[-1] for m in MASKS) + 1
+    numbers = F.when(F.size("doc") >= shortest, F.sequence(F.lit(0), F.size("doc") * k - 1))
+    at = tokens.select("doc_id", "doc", F.explode_outer(numbers).alias("n")).select("doc_id", "doc", F.expr(f"cast(n div {k} as int)").alias("at"), (F.col("n") % k).alias("mask"))
+    left = F.size("doc") - F.col("at")
+    seed = F.lit(None).cast("long")
+    for i, m in enumerate(MASKS):
+        seed = F.when((F.col("mask") == i) & (left > m[-1]), _seed(F.col("doc"), F.col("at"), i)).otherwise(seed)
+    hits = at.select("doc_id", "doc", "at", seed.alias("seed")).join(F.broadcast(seeds), "seed")
+    near = hits.select("doc_id", "item_id", "at", F.least(F.lit(WINDOW), F.size("item")).alias("length"), _around(F.col("doc"), F.col("at")).alias("doc_near"), _around(F.col("item"), F.col("item_at")).alias("item_near"), F.monotonically_increasing_id().alias("hit"))
+    return near.select("doc_id", "item_id", "at", "length", "hit", _agreeing(F.col("doc_near"), F.col("item_near")).alias("agreeing")).where((F.col("hit") >= 0) & (F.col("agreeing") >= F.ceil(F.col("length") * F.lit(AGREE)))).drop("length")
