@@ -35,7 +35,7 @@ SMOOTHING = 5.0
 #: Distinct tokens whose exact counts are broadcast: those above the count that leaves at most so many.
 HEAD_TOKENS = 1 << 20
 #: Bytes of the filter that are broadcast at once.
-FILTER_BYTES = 256 << 20
+FILTER_BYTES = 64 << 20
 #: Tokens that a task gathers before it counts them.
 FLUSH = 4_000_000
 #: The token that ends each document and stands before its first word.
