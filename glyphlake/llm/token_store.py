@@ -36,8 +36,8 @@ END_ID = 2
 ROLL = 16
 CUT_BITS = 9
 MIN_IDS, MAX_IDS = 64, 4096
-#: Words whose ids a worker remembers before it starts anew.
-MEMO = 300_000
+#: Words whose ids a worker remembers, besides as many that were used before these.
+MEMO = 400_000
 VERSION = 1
 
 
@@ -73,38 +73,71 @@ def cut_points(ids: np.ndarray) -> list[int]:
 class Encoder:
     """Token ids of whole texts by the tokenizers library.
 
-    Byte-level pre-tokenization never joins a character to the blank after it, so
-    the ids of a text are those of its pieces, split before each blank that
-    stands between two characters that are not white space. Pieces repeat; their
-    ids are remembered. Texts with other white space around blanks are split less.
+    Byte-level pre-tokenization ends a piece before each white space, and begins
+    one after a single newline. So the ids of a text are those of its words, where
+    a word keeps the one blank before it and a newline between two words is a
+    token of its own. Words repeat: their ids are remembered, and new ones are
+    encoded together, with newlines between them. Texts with any other white
+    space are encoded as they are.
     """
 
-    _ODD = re.compile(r" \s|\s ")
-    _BLANK = re.compile(r"(?<=\S) (?=\S)")
-
     def __init__(self, path: str, width: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if width == 2 else "<u4")
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        #: Ids by word; words at the beginning of a line begin with its newline. Empty for words that need the whole text.
         self.memo: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[str]:
-        parts = self._BLANK.split(text) if self._ODD.search(text) or text[:1] == " " or text[-1:] == " " else text.split(" ")
-        return [parts[0], *[" " + x for x in parts[1:]]]
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _learn(self, words: list[str]) -> None:
+        # one word without any white space but the newline, and without what may be a special token
+        plain = [w for w in words if len(w.split()) == 1 and "<|" not in w and w.lstrip("\n") == w.split()[0]]
+        if len(plain) < len(words):
+            self.memo.update(dict.fromkeys(set(words).difference(plain), b""))
+        size = self.dtype.itemsize
+        for a in range(0, len(plain), 500):
+            some = plain[a : a + 500]
+            ids = self._ids("".join([w if w[0] == "\n" else "\n " + w for w in some]))
+            at = np.append(np.flatnonzero(ids == self.newline[0]), len(ids))
+            data, at = ids.tobytes(), (at * size).tolist()
+            self.memo.update(zip(some, [data[i if w[0] == "\n" else i + size : j] for w, i, j in zip(some, at[:-1], at[1:], strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes, without the end id."""
-        pieces = [self._pieces(x) if x else [] for x in texts]
+        if len(self.newline) != 1:
+            return [self._ids(x).tobytes() if x else b"" for x in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list({x for p in pieces for x in p if x not in memo})
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[x] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([memo[x] for x in p]) for p in pieces]
+            self.memo, self.older = {}, self.memo
+        get, old = self.memo.get, self.older.get
+        words = [("\n" + x).replace("\n", " \n")[1:].split(" ") if x else [] for x in texts]
+        found = [list(map(get, w)) for w in words]
+        new = [[w for w, f in zip(ws, fs, strict=True) if f is None] if None in fs else [] for ws, fs in zip(words, found, strict=True)]
+        again = dict.fromkeys(w for ws in new for w in ws)
+        self.memo.update((w, x) for w in again if (x := old(w)) is not None)
+        self._learn([w for w in again if get(w) is None])
+        out = []
+        for x, fs, ws in zip(texts, found, new, strict=True):
+            if ws:
+                fill = iter(map(get, ws))
+                fs = [next(fill) if f is None else f for f in fs]
+            # a text begins with no newline of its own
+            out.append((self._ids(x).tobytes() if b"" in fs else b"".join(fs)[self.dtype.itemsize :]) if x else b"")
+        return out
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(path: str, width: int) -> Encoder:
+    """One encoder a worker, so that tasks of one worker share its words."""
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = Encoder(path, width)
+    return _ENCODERS[path, width]
 
 
 def id_width(tokenizer_path: str, end_id: int) -> int:
@@ -144,10 +177,10 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, *
     schema = "kind string, key binary, data binary, doc_id long, n_tokens long"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(tokenizer_path, width), set()
+        encoder, seen = _encoder(tokenizer_path, width), set()
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
                 rows: list[tuple] = []
                 for i, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     data += end
