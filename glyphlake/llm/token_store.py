@@ -70,6 +70,9 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return out if begin == n else [*out, n]
 
 
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder:
     """Token ids of whole texts by the tokenizers library.
 
@@ -90,29 +93,44 @@ class Encoder:
         #: Ids by word; words at the beginning of a line begin with its newline. Empty for words that need the whole text.
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _learn(self, words: list[str]) -> None:
+        """Remember words. Punctuation behind a letter or digit is a piece of its own, so it is put to the ids of what is before."""
+        memo, whole, composed = self.memo, {}, []
+        for w in words:
+            core = w.rstrip(_PUNCTUATION)
+            if len(core) < len(w) and core and core[-1] < "\u0250" and core[-1].isalnum():
+                composed.append((w, core, w[len(core) :]))
+                if core not in memo:
+                    whole[core] = None
+            else:
+                whole[w] = None
         # one word without any white space but the newline, and without what may be a special token
-        plain = [w for w in words if len(w.split()) == 1 and "<|" not in w and w.lstrip("\n") == w.split()[0]]
-        if len(plain) < len(words):
-            self.memo.update(dict.fromkeys(set(words).difference(plain), b""))
+        plain = [w for w in whole if w.split() == [w.removeprefix("\n")] and "<|" not in w]
+        if len(plain) < len(whole):
+            memo.update(dict.fromkeys(whole.keys() - set(plain), b""))
         size = self.dtype.itemsize
         for a in range(0, len(plain), 500):
             some = plain[a : a + 500]
             ids = self._ids("".join([w if w[0] == "\n" else "\n " + w for w in some]))
             at = np.append(np.flatnonzero(ids == self.newline[0]), len(ids))
             data, at = ids.tobytes(), (at * size).tolist()
-            self.memo.update(zip(some, [data[i if w[0] == "\n" else i + size : j] for w, i, j in zip(some, at[:-1], at[1:], strict=True)], strict=True))
+            memo.update(zip(some, [data[i if w[0] == "\n" else i + size : j] for w, i, j in zip(some, at[:-1], at[1:], strict=True)], strict=True))
+        for w, core, tail in composed:
+            if tail not in self.tails:
+                self.tails[tail] = self._ids(tail).tobytes()
+            memo[w] = (ids := memo[core]) and "<|" not in w and ids + self.tails[tail] or b""
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes, without the end id."""
         if len(self.newline) != 1:
             return [self._ids(x).tobytes() if x else b"" for x in texts]
         if len(self.memo) > MEMO:
-            self.memo, self.older = {}, self.memo
+            self.memo, self.older, self.tails = {}, self.memo, {}
         get, old = self.memo.get, self.older.get
         words = [("\n" + x).replace("\n", " \n")[1:].split(" ") if x else [] for x in texts]
         found = [list(map(get, w)) for w in words]
