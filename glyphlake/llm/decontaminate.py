@@ -33,33 +33,48 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed(tokens: Column, at: Column, mask: int) -> Column:
-    return F.xxhash64(F.lit(mask), *[F.get(tokens, at + o) for o in MASKS[mask]])
+def _seed(tokens: Column, at: Column, mask: Column) -> Column:
+    """Hash of the tokens that a mask (0, 1, ..) picks at a position; 0 where the window would run past the end.
 
+    One expression for all masks, as the stage that evaluates it for each
+    position must stay small enough to be compiled; never null, so that no filter
+    evaluates it a second time.
+    """
+
+    def offset(k: int) -> Column:
+        out = F.lit(MASKS[0][k])
+        for i, m in enumerate(MASKS[1:], 1):
+            out = F.when(mask == i, m[k]).otherwise(out)
+        return out
+
+    picked = [F.get(tokens, at + offset(k)) for k in range(1, len(MASKS[0]))]
+    return F.when(F.size(tokens) - at > offset(-1), F.xxhash64(mask, F.get(tokens, at), *picked)).otherwise(F.lit(0).cast("long"))
 
-def _seeds(tokens: Column, at: Column) -> Column:
-    """The seeds that fit at a position; windows that would run past the end give null."""
-    last = F.size(tokens) - at
-    return F.array(*[F.when(last > m[-1], _seed(tokens, at, k)) for k, m in enumerate(MASKS)])
+
+def _positions(rows: DataFrame, tokens: str) -> DataFrame:
+    """Rows with ``at`` and ``mask`` for each position of their tokens and mask, from one sequence of numbers."""
+    k = len(MASKS)
+    shortest = min(m[-1] for m in MASKS) + 1
+    numbers = F.when(F.size(tokens) >= shortest, F.sequence(F.lit(0), F.size(tokens) * k - 1))
+    # the outer form keeps Spark from filtering by the size of tokens computed anew
+    return rows.select(*rows.columns, F.explode_outer(numbers).alias("n")).select(*rows.columns, F.expr(f"cast(n div {k} as int)").alias("at"), (F.col("n") % k).alias("mask"))
 
 
 def benchmark_seeds(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row per item, position and mask, with the item's token hashes."""
     items = benchmark.select(F.col(item_id).alias("item_id"), token_hashes(F.col(text)).alias("item")).where(F.size("item") >= SPAN).distinct()
-    at = items.select("item_id", "item", F.posexplode("item").alias("item_at", "_"))
-    return at.select("item_id", "item", "item_at", F.explode(_seeds(F.col("item"), F.col("item_at"))).alias("seed")).where("seed is not null").distinct()
-
+    at = _positions(items, "item").where("at is not null").withColumnRenamed("at", "item_at")
+    return at.select("item_id", "item", "item_at", _seed(F.col("item"), F.col("item_at"), F.col("mask")).alias("seed")).where("seed <> 0").distinct()
 
-def _around(tokens: Column, at: Column) -> Column:
-    """WINDOW + WINDOW - SPAN tokens around a hit; places outside of the text are null."""
-    return F.array(*[F.get(tokens, at + j) for j in range(SPAN - WINDOW, WINDOW)])
 
+def _agreeing(doc: Column, item: Column, before: Column) -> Column:
+    """Most agreeing tokens in WINDOW aligned tokens that hold the hit, of all such windows.
 
-def _agreeing(doc: Column, item: Column) -> Column:
-    """Most agreeing tokens in WINDOW aligned tokens that hold the hit, of all such windows."""
+    The slices begin ``before`` tokens in front of the hit.
+    """
     equal = F.zip_with(doc, item, lambda a, b: F.when(a == b, 1).otherwise(0))
-    in_window = lambda s: F.aggregate(F.slice(equal, s, F.lit(WINDOW)), F.lit(0), lambda n, x: n + x)
-    return F.array_max(F.transform(F.sequence(F.lit(1), F.lit(WINDOW - SPAN + 1)), in_window))
+    in_window = lambda s: F.aggregate(F.slice(equal, s + 1, F.lit(WINDOW)), F.lit(0), lambda n, x: n + x)
+    return F.array_max(F.transform(F.sequence(F.lit(0), before), in_window))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_seeds: int = MAX_SEEDS) -> DataFrame:
@@ -91,20 +106,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
 def _search(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Verified hits: ``doc_id, item_id, at, hit, agreeing``.
 
-    Positions and masks are one sequence of numbers, so that generating, hashing
-    and probing fuse into one code-generated stage; only hits leave it, with the
-    tokens around them. What follows uses lambdas, which Spark interprets: the
-    number of the row (``hit``) keeps it from being moved into the join.
+    Generating positions, hashing and probing fuse into one code-generated stage;
+    only hits leave it, with the tokens around them. What follows uses lambdas,
+    which Spark interprets: the number of the row (``hit``) keeps it from being
+    moved into the join.
     """
-    k = len(MASKS)
     tokens = docs.select(F.col(doc_id).alias("doc_id"), token_hashes(F.col(text)).alias("doc"))
-    shortest = min(m[-1] for m in MASKS) + 1
-    numbers = F.when(F.size("doc") >= shortest, F.sequence(F.lit(0), F.size("doc") * k - 1))
-    at = tokens.select("doc_id", "doc", F.explode_outer(numbers).alias("n")).select("doc_id", "doc", F.expr(f"cast(n div {k} as int)").alias("at"), (F.col("n") % k).alias("mask"))
-    left = F.size("doc") - F.col("at")
-    seed = F.lit(None).cast("long")
-    for i, m in enumerate(MASKS):
-        seed = F.when((F.col("mask") == i) & (left > m[-1]), _seed(F.col("doc"), F.col("at"), i)).otherwise(seed)
-    hits = at.select("doc_id", "doc", "at", seed.alias("seed")).join(F.broadcast(seeds), "seed")
-    near = hits.select("doc_id", "item_id", "at", F.least(F.lit(WINDOW), F.size("item")).alias("length"), _around(F.col("doc"), F.col("at")).alias("doc_near"), _around(F.col("item"), F.col("item_at")).alias("item_near"), F.monotonically_increasing_id().alias("hit"))
-    return near.select("doc_id", "item_id", "at", "length", "hit", _agreeing(F.col("doc_near"), F.col("item_near")).alias("agreeing")).where((F.col("hit") >= 0) & (F.col("agreeing") >= F.ceil(F.col("length") * F.lit(AGREE)))).drop("length")
+    probes = _positions(tokens, "doc").select("doc_id", "doc", "at", _seed(F.col("doc"), F.col("at"), F.col("mask")).alias("seed"))
+    hits = probes.join(F.broadcast(seeds), "seed")
+    before = F.least(F.lit(WINDOW - SPAN), F.col("at"), F.col("item_at"))
+    around = lambda t, at: F.slice(F.col(t), F.col(at) - before + 1, F.lit(2 * WINDOW - SPAN))
+    near = hits.select("doc_id", "item_id", "at", F.size("item").alias("length"), before.alias("before"), around("doc", "at").alias("doc_near"), around("item", "item_at").alias("item_near"), F.monotonically_increasing_id().alias("hit"))
+    needed = F.ceil(F.least(F.lit(WINDOW), F.col("length")) * F.lit(AGREE))
+    return near.select("doc_id", "item_id", "at", "hit", needed.alias("needed"), _agreeing(F.col("doc_near"), F.col("item_near"), F.col("before")).alias("agreeing")).where("hit >= 0 and agreeing >= needed").drop("needed")
