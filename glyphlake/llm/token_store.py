@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,8 +35,6 @@ END_ID = 2
 ROLL = 16
 CUT_BITS = 9
 MIN_IDS, MAX_IDS = 64, 4096
-#: Words whose ids a worker remembers, besides as many that were used before these.
-MEMO = 400_000
 VERSION = 1
 
 
@@ -70,81 +67,116 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return out if begin == n else [*out, n]
 
 
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
 class Encoder:
-    """Token ids of whole texts by the tokenizers library.
-
-    Byte-level pre-tokenization ends a piece before each white space, and begins
-    one after a single newline. So the ids of a text are those of its words, where
-    a word keeps the one blank before it and a newline between two words is a
-    token of its own. Words repeat: their ids are remembered, and new ones are
-    encoded together, with newlines between them. Texts with any other white
-    space are encoded as they are.
+    """Token ids of whole texts by the tokenizers library, looked up word by word.
+
+    Byte-level pre-tokenization ends a piece before each white space and before
+    punctuation behind a letter or digit, and a single newline is a token of its
+    own. So the ids of a text are those of its words, where a word keeps the blank
+    or newline before it. Words repeat: a table holds the ids of those seen, under
+    two independent hashes of 64 bits. Hashing, lookup and joining run over whole
+    arrays; new words are encoded together, with newlines between them. A text
+    with other white space, or with a special token in it, is encoded as it is.
     """
 
+    SLOTS = 1 << 20
+    POOL = 1 << 23
+    LONGEST = 64
+
     def __init__(self, path: str, width: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if width == 2 else "<u4")
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        #: Ids by word; words at the beginning of a line begin with its newline. Empty for words that need the whole text.
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.tables = np.random.default_rng(4099).integers(0, 1 << 64, (2, self.LONGEST * 256), dtype=np.uint64)
+        kind = np.zeros(256, np.uint8)
+        kind[[c for c in range(128) if chr(c).isalnum()]] = 1
+        kind[[c for c in range(33, 127) if not chr(c).isalnum()]] = 2
+        kind[[10, 32]] = 3
+        self.kind = kind
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros((2, self.SLOTS), np.uint64)
+        self.begin = np.zeros(self.SLOTS, np.int64)
+        self.length = np.zeros(self.SLOTS, np.int64)
+        self.pool, self.used = np.zeros(self.POOL, self.dtype), 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember words. Punctuation behind a letter or digit is a piece of its own, so it is put to the ids of what is before."""
-        memo, whole, composed = self.memo, {}, []
-        for w in words:
-            core = w.rstrip(_PUNCTUATION)
-            if len(core) < len(w) and core and core[-1] < "\u0250" and core[-1].isalnum():
-                composed.append((w, core, w[len(core) :]))
-                if core not in memo:
-                    whole[core] = None
-            else:
-                whole[w] = None
-        # one word without any white space but the newline, and without what may be a special token
-        plain = [w for w in whole if w.split() == [w.removeprefix("\n")] and "<|" not in w]
-        if len(plain) < len(whole):
-            memo.update(dict.fromkeys(whole.keys() - set(plain), b""))
-        size = self.dtype.itemsize
+    def _store(self, ids: np.ndarray) -> int:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool) // 2), self.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of new words begin and how many they are; none for words that need the whole text."""
+        begin, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        texts = [w.decode() for w in words]
+        bare = [x[1:] if x[0] in " \n" else x for x in texts]
+        plain = [i for i, x in enumerate(bare) if x.split() == [x] and not any(t in words[i] for t in self.special)]
         for a in range(0, len(plain), 500):
             some = plain[a : a + 500]
-            ids = self._ids("".join([w if w[0] == "\n" else "\n " + w for w in some]))
-            at = np.append(np.flatnonzero(ids == self.newline[0]), len(ids))
-            data, at = ids.tobytes(), (at * size).tolist()
-            memo.update(zip(some, [data[i if w[0] == "\n" else i + size : j] for w, i, j in zip(some, at[:-1], at[1:], strict=True)], strict=True))
-        for w, core, tail in composed:
-            if tail not in self.tails:
-                self.tails[tail] = self._ids(tail).tobytes()
-            memo[w] = (ids := memo[core]) and "<|" not in w and ids + self.tails[tail] or b""
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes, without the end id."""
-        if len(self.newline) != 1:
-            return [self._ids(x).tobytes() if x else b"" for x in texts]
-        if len(self.memo) > MEMO:
-            self.memo, self.older, self.tails = {}, self.memo, {}
-        get, old = self.memo.get, self.older.get
-        words = [("\n" + x).replace("\n", " \n")[1:].split(" ") if x else [] for x in texts]
-        found = [list(map(get, w)) for w in words]
-        new = [[w for w, f in zip(ws, fs, strict=True) if f is None] if None in fs else [] for ws, fs in zip(words, found, strict=True)]
-        again = dict.fromkeys(w for ws in new for w in ws)
-        self.memo.update((w, x) for w in again if (x := old(w)) is not None)
-        self._learn([w for w in again if get(w) is None])
-        out = []
-        for x, fs, ws in zip(texts, found, new, strict=True):
-            if ws:
-                fill = iter(map(get, ws))
-                fs = [next(fill) if f is None else f for f in fs]
-            # a text begins with no newline of its own
-            out.append((self._ids(x).tobytes() if b"" in fs else b"".join(fs)[self.dtype.itemsize :]) if x else b"")
+            ids = self._ids("".join([texts[i] if texts[i][0] == "\n" else "\n" + texts[i] for i in some]))
+            at = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)) + self._store(ids)
+            own = np.array([texts[i][0] != "\n" for i in some])  # the newline before them is not theirs
+            begin[some] = at[:-1] + own
+            length[some] = at[1:] - begin[some]
+        return begin, length
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of UTF-8 texts as bytes, without the end id."""
+        filled = [i for i, x in enumerate(texts) if x]
+        out = [b""] * len(texts)
+        if not filled:
+            return out
+        if self.used > self.POOL // 2:
+            self._forget()
+        data = b"\n" + b"\n".join([texts[i] for i in filled])
+        sizes = np.array([len(texts[i]) + 1 for i in filled])
+        x = np.frombuffer(data, np.uint8)
+        kind = self.kind[x]
+        starts = np.flatnonzero((kind == 3) | np.append(False, (kind[1:] == 2) & (kind[:-1] == 1)))
+        lengths = np.diff(starts, append=len(x))
+        place = np.arange(len(x), dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths)
+        place = (np.minimum(place, self.LONGEST - 1) << 8) | x
+        h, h2 = (np.add.reduceat(t[place], starts) for t in self.tables)
+        slot = (h >> np.uint64(44)).astype(np.int64)
+        odd = (lengths == 1) & (kind[starts] == 3)
+        far = lengths > self.LONGEST
+        known = (self.keys[0, slot] == h) & (self.keys[1, slot] == h2) & ~far
+        begin, length = self.begin[slot], self.length[slot]
+        new = np.flatnonzero(~known & ~odd & ~far)
+        if len(new):
+            _, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+            at = new[first]
+            b, n = self._learn([data[i:j] for i, j in zip(starts[at].tolist(), (starts[at] + lengths[at]).tolist(), strict=True)])
+            begin[new], length[new] = b[inverse], n[inverse]
+            same = h2[new] == h2[at][inverse]
+            where = slot[at]
+            self.keys[0, where], self.keys[1, where], self.begin[where], self.length[where] = h[at], h2[at], b, n
+            far[new[~same]] = True  # another word of an equal hash
+        long = np.flatnonzero(far)
+        if len(long):
+            begin[long], length[long] = self._learn([data[i:j] for i, j in zip(starts[long].tolist(), (starts[long] + lengths[long]).tolist(), strict=True)])
+        length[odd] = 0
+        ends = np.cumsum(length)
+        ids = self.pool[np.repeat(begin - (ends - length), length) + np.arange(ends[-1])].tobytes()
+        text_at = np.concatenate([[0], np.cumsum(sizes)])
+        word_at = np.append(np.searchsorted(starts, text_at[:-1]), len(starts))
+        token_at = (np.append(0, ends)[word_at] * self.dtype.itemsize).tolist()
+        whole = np.logical_or.reduceat(length == 0, word_at[:-1]) | (len(self.newline) != 1)
+        special = any(t in data for t in self.special)
+        for k, i in enumerate(filled):
+            if whole[k] or (special and any(t in texts[i] for t in self.special)):
+                out[i] = self._ids(texts[i].decode()).tobytes()
+            else:  # a text begins with no newline of its own
+                out[i] = ids[token_at[k] + self.dtype.itemsize : token_at[k + 1]]
         return out
 
 
@@ -197,8 +229,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, *
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = _encoder(tokenizer_path, width), set()
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                part = batch.slice(a, 200)
+            for a in range(0, batch.num_rows, 400):
+                part = batch.slice(a, 400)
                 rows: list[tuple] = []
                 for i, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     data += end
@@ -224,7 +256,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, *
                     seen.add(key)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    encoded = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(encode, schema)
+    encoded = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text")).mapInArrow(encode, schema)
     # recipes of one text have one digest: they are dealt by document, only chunks by digest
     salt = F.when(F.col("kind") == "recipe", F.col("doc_id"))
     encoded.repartition(F.col("key"), salt).mapInArrow(once, schema).write.partitionBy("kind").parquet(f"{path}/parts")
