@@ -28,20 +28,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
-    classes = simhash.near_duplicates(docs)
-    kept = classes.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return _one_row_per_id(rows)
+    """One document of each group of near-duplicates: that of the smallest id.
 
-
-def _one_row_per_id(rows: DataFrame) -> DataFrame:
-    """Of rows that share an id, the one of the smallest text hash."""
+    Of rows that share this id, the one of the smallest text hash stays. Rows
+    without an id belong to no group and all stay. Texts are shuffled once.
+    """
+    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    single = rows.join(ids, "doc_id", "left_anti")
-    several = rows.join(ids, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
-    return single.unionByName(several)
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
+    one = named.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
