@@ -79,9 +79,9 @@ def oracle_sql() -> dict[str, str]:
 
 _TOPK = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
          CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
@@ -100,10 +100,10 @@ WITH p AS (
 ), d AS (
   SELECT page_id, octet_length(body) AS n, sha1(body) AS digest, max(page_id) OVER (PARTITION BY body) AS best FROM p
 ), b AS (
-  SELECT *, array_to_string(list_transform(string_split_regex(digest, ''), c -> right(bin(instr('0123456789abcdef', c) - 1 + 16), 4)), '') AS bits FROM d
+  SELECT *, array_to_string(list_transform(string_split_regex(digest, ''), lambda c: right(bin(instr('0123456789abcdef', c) - 1 + 16), 4)), '') AS bits FROM d
 )
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
          16 * CAST(substr(bits, CAST(5*i+1 AS BIGINT), 1) AS INTEGER) + 8 * CAST(substr(bits, CAST(5*i+2 AS BIGINT), 1) AS INTEGER) + 4 * CAST(substr(bits, CAST(5*i+3 AS BIGINT), 1) AS INTEGER)
          + 2 * CAST(substr(bits, CAST(5*i+4 AS BIGINT), 1) AS INTEGER) + CAST(substr(bits, CAST(5*i+5 AS BIGINT), 1) AS INTEGER) + 1 AS BIGINT), 1)), '') AS payload_digest,
        CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
