@@ -79,8 +79,8 @@ class Encoder:
     with other white space, or with a special token in it, is encoded as it is.
     """
 
-    SLOTS = 1 << 20
-    POOL = 1 << 23
+    SLOT_BITS = 21
+    POOL = 1 << 24
     LONGEST = 64
 
     def __init__(self, path: str, width: int) -> None:
@@ -99,9 +99,10 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros((2, self.SLOTS), np.uint64)
-        self.begin = np.zeros(self.SLOTS, np.int64)
-        self.length = np.zeros(self.SLOTS, np.int64)
+        slots = 1 << self.SLOT_BITS
+        self.keys = np.zeros((2, slots), np.uint64)
+        self.begin = np.zeros(slots, np.int32)
+        self.length = np.zeros(slots, np.uint16)
         self.pool, self.used = np.zeros(self.POOL, self.dtype), 0
 
     def _ids(self, text: str) -> np.ndarray:
@@ -135,7 +136,7 @@ class Encoder:
         out = [b""] * len(texts)
         if not filled:
             return out
-        if self.used > self.POOL // 2:
+        if self.used > self.POOL * 3 // 4:
             self._forget()
         data = b"\n" + b"\n".join([texts[i] for i in filled])
         sizes = np.array([len(texts[i]) + 1 for i in filled])
@@ -146,11 +147,11 @@ class Encoder:
         place = np.arange(len(x), dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths)
         place = (np.minimum(place, self.LONGEST - 1) << 8) | x
         h, h2 = (np.add.reduceat(t[place], starts) for t in self.tables)
-        slot = (h >> np.uint64(44)).astype(np.int64)
+        slot = (h >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
         odd = (lengths == 1) & (kind[starts] == 3)
         far = lengths > self.LONGEST
         known = (self.keys[0, slot] == h) & (self.keys[1, slot] == h2) & ~far
-        begin, length = self.begin[slot], self.length[slot]
+        begin, length = self.begin[slot].astype(np.int64), self.length[slot].astype(np.int64)
         new = np.flatnonzero(~known & ~odd & ~far)
         if len(new):
             _, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
@@ -334,23 +335,33 @@ def _times(a: int, b: int) -> int:
     return out
 
 
-@lru_cache(maxsize=1 << 16)
-def _shift(n_bytes: int) -> int:
-    """x to the power of 8 * n_bytes."""
-    out, base, n = 1 << 31, 1 << 30, 8 * n_bytes
-    while n:
-        if n & 1:
-            out = _times(out, base)
-        base = _times(base, base)
-        n >>= 1
+@lru_cache(maxsize=1)
+def _shifts() -> list[np.ndarray]:
+    """For each k below 48, tables (4 by 256) that append 2**k zero bytes to what has a crc."""
+    out, power = [], _times(1 << 27, 1 << 27)  # x**8 is the square of x**4
+    for _ in range(48):
+        bits = [_times(power, 1 << i) for i in range(32)]
+        table = np.zeros((4, 256), np.uint32)
+        for byte in range(4):
+            for value in range(256):
+                for i in range(8):
+                    if value >> i & 1:
+                        table[byte, value] ^= bits[8 * byte + i]
+        out.append(table)
+        power = _times(power, power)
     return out
 
 
-def crc_join(parts: list[tuple[int, int]]) -> int:
-    """crc32 of what has these (crc32, bytes) one after the other."""
-    crc = 0
-    for own, n in parts:
-        crc = _times(_shift(n), crc) ^ own
+def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """What each crc adds to that of a whole in which so many bytes follow its part."""
+    crc, n_bytes = crc.astype(np.uint32), n_bytes.astype(np.int64)
+    for k, table in enumerate(_shifts()):
+        on = np.flatnonzero(n_bytes >> k & 1)
+        if len(on):
+            v = crc[on]
+            crc[on] = table[0, v & 255] ^ table[1, v >> 8 & 255] ^ table[2, v >> 16 & 255] ^ table[3, v >> 24]
+        elif not (n_bytes >> k).any():
+            break
     return crc
 
 
@@ -389,12 +400,19 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crc = []
-            for n, wanted, found in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                if len(found) != wanted or sum(x["ids"] for x in found) != n:
-                    raise ValueError("a recipe does not match the stored chunks")
-                crc.append(crc_join([(x["crc"], 4 * x["ids"]) for x in found]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            if not batch.num_rows:
+                continue
+            found = batch.column(4)
+            parts, lengths = found.flatten(), np.diff(found.offsets.to_numpy())
+            ids, crc = (parts.field(k).to_numpy() for k in (1, 2))
+            first = np.append(0, np.cumsum(lengths)[:-1])
+            ends = np.cumsum(ids)
+            total = np.add.reduceat(ids, first)
+            if (lengths != batch.column(3).to_numpy()).any() or (total != batch.column(2).to_numpy()).any():
+                raise ValueError("a recipe does not match the stored chunks")
+            after = np.repeat(ends[first + lengths - 1], lengths) - ends
+            whole = np.bitwise_xor.reduceat(crc_shift(crc, 4 * after), first)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(whole.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     stored = chunks(spark, path).mapInArrow(sums, "digest binary, ids long, crc long")
     recipes = spark.read.schema("doc_id long, start long, n_tokens long, digests binary").parquet(f"{path}/recipes")
