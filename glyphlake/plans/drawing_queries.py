@@ -116,7 +116,7 @@ def profile_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.when(F.col("event_type") == "view", 3).when(F.col("event_type") == "click", 11).otherwise(12)
     value = F.when(e == 12, F.when(F.col("event_id") % 2 == 0, 32).otherwise(64)).when(e == 3, F.col("event_id") % 2).otherwise(F.col("event_id") % 40)
     made = binary_files(rows, F.col("user_id"), F.col("event_id"), F.lit(1), e, hex_unsigned(value, 2))
-    return state.profile(files.framing.frame_files(made)).select(F.col("doc_id").cast("long").alias("user_id"), *[F.col(c).cast("long").alias(c) for c in ("vdc_type", "vdc_precision", "vdc_real_bits")])
+    return state.profile(files.framing.frame_files(made)).select(F.col("doc_id").cast("long").alias("user_id"), *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("vdc_type", "vdc_precision", "vdc_real_bits")])
 
 
 def style_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ def style_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     made = binary_files(rows, F.col("user_id"), F.col("event_id"), F.when(kind == "view", 4).otherwise(5), F.when(kind == "view", 1).when(kind == "click", 3).otherwise(4), F.when(kind == "view", hex_unsigned(F.col("event_id"), 4)).when(kind == "click", hex_f32((F.col("event_id") % 50 - 5).cast("double"))).otherwise(hex_unsigned(F.col("event_id") % 200, 1)))
     found = state.styled(files.framing.frame_files(made)).where("class_id = 4")
-    return found.select(F.conv(F.hex("parameters"), 16, 10).cast("long").alias("event_id"), "stroke_width", F.col("color_at").cast("long").alias("color_at"))
+    return found.select(F.conv(F.hex("parameters"), 16, 10).cast("long").alias("event_id"), "stroke_width", F.coalesce(F.col("color_at").cast("long"), F.lit(-1)).alias("color_at"))
 
 
 def color_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ def color_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scope_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
-    return scopes.owners(rows, step, "user_id", "event_id").select("user_id", "event_id", "owner")
+    return scopes.owners(rows, step, "user_id", "event_id").select("user_id", "event_id", F.coalesce("owner", F.lit(-1)).alias("owner"))
 
 
 def _order_statements(spark: SparkSession, sf_dir: str, region: bool) -> DataFrame:
@@ -370,12 +370,12 @@ SQL = {
         SELECT a.l_orderkey, a.i // 2 AS k, a.x AS from_x, b.x AS to_x FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND b.i = a.i + 1 WHERE a.i % 2 = 0""",
     "gdp_payloads": "SELECT l_orderkey, CAST(sum(l_quantity) AS DOUBLE) AS x_sum, CAST(sum(l_linenumber) AS DOUBLE) AS y_sum FROM lineitem GROUP BY l_orderkey",
     "profile_last_wins": """
-        SELECT user_id, CAST(arg_max(event_id % 2, event_id) FILTER (WHERE event_type = 'view') AS BIGINT) AS vdc_type, CAST(arg_max(event_id % 40, event_id) FILTER (WHERE event_type = 'click') AS BIGINT) AS vdc_precision,
-          CAST(arg_max(CASE WHEN event_id % 2 = 0 THEN 32 ELSE 64 END, event_id) FILTER (WHERE event_type NOT IN ('view', 'click')) AS BIGINT) AS vdc_real_bits FROM events GROUP BY user_id""",
+        SELECT user_id, coalesce(CAST(arg_max(event_id % 2, event_id) FILTER (WHERE event_type = 'view') AS BIGINT), -1) AS vdc_type, coalesce(CAST(arg_max(event_id % 40, event_id) FILTER (WHERE event_type = 'click') AS BIGINT), -1) AS vdc_precision,
+          coalesce(CAST(arg_max(CASE WHEN event_id % 2 = 0 THEN 32 ELSE 64 END, event_id) FILTER (WHERE event_type NOT IN ('view', 'click')) AS BIGINT), -1) AS vdc_real_bits FROM events GROUP BY user_id""",
     "style_carry": """
         WITH e AS (SELECT *, last_value(CASE WHEN event_type = 'click' AND event_id % 50 > 5 THEN event_id % 50 - 5 END IGNORE NULLS) OVER w AS width, last_value(CASE WHEN event_type = 'purchase' THEN event_id % 200 END IGNORE NULLS) OVER w AS color
           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
-        SELECT event_id, CAST(coalesce(width, 1) AS DOUBLE) AS stroke_width, color AS color_at FROM e WHERE event_type = 'view'""",
+        SELECT event_id, CAST(coalesce(width, 1) AS DOUBLE) AS stroke_width, coalesce(color, -1) AS color_at FROM e WHERE event_type = 'view'""",
     "color_tables": """
         WITH c AS (SELECT c_nationkey AS nation, c_custkey % 256 AS i, max(c_custkey) AS k FROM customer GROUP BY 1, 2)
         SELECT CAST(nation AS BIGINT) AS nation, i AS color_index, printf('#%02x%02x%02x', CAST(k * 3 % 256 AS INTEGER), CAST(k * 5 % 256 AS INTEGER), CAST(k * 7 % 256 AS INTEGER)) AS color FROM c""",
@@ -393,7 +393,7 @@ SQL = {
             CASE e.event_type WHEN 'signup' THEN e.event_id ELSE r.stack[-1] END
           FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1
         )
-        SELECT user_id, event_id, owner FROM r WHERE i > 0""",
+        SELECT user_id, event_id, coalesce(owner, -1) AS owner FROM r WHERE i > 0""",
     "hotspots_geometry": f"""
         WITH {_SPOTS}, o AS (SELECT o_orderkey % 100 AS doc, o_orderkey, g.* FROM orders JOIN g ON k = o_orderkey WHERE x_min < x_max AND y_min < y_max)
         SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY o_orderkey) - 1 AS index, 'O' || o_orderkey AS source_tag, CAST(x_min AS BIGINT) AS x_min, CAST(y_min AS BIGINT) AS y_min, CAST(x_max AS BIGINT) AS x_max, CAST(y_max AS BIGINT) AS y_max FROM o""",

@@ -97,12 +97,12 @@ SQL = {
           SELECT page_id, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS i
           FROM (SELECT page_id, regexp_extract_all(html, '[^;"'']+|"[^"]*"?|''[^'']*''?|;') AS tokens FROM pages)
         ), g AS (
-          SELECT *, sum(CASE WHEN tok = ';' THEN 1 ELSE 0 END) OVER w AS grp, sum(length(tok)) OVER w - length(tok) AS before
+          SELECT *, sum(CASE WHEN tok = ';' THEN 1 ELSE 0 END) OVER w AS grp, sum(length(tok)) OVER w - length(tok) AS skipped
           FROM t WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING)
         ), s AS (
-          SELECT page_id, grp, min(before) AS at, string_agg(tok, '' ORDER BY i) AS x FROM g WHERE tok <> ';' GROUP BY page_id, grp
+          SELECT page_id, grp, min(skipped) AS begins, string_agg(tok, '' ORDER BY i) AS x FROM g WHERE tok <> ';' GROUP BY page_id, grp
         )
-        SELECT page_id, CAST(at AS BIGINT) AS begins, length({_STRIPPED}) AS chars FROM s WHERE {_STRIPPED} <> ''""",
+        SELECT page_id, CAST(begins AS BIGINT) AS begins, length({_STRIPPED}) AS chars FROM s WHERE {_STRIPPED} <> ''""",
     "first_words": rf"""
         WITH s AS (SELECT {_STRIPPED} AS s FROM (SELECT unnest({_PIECES}) AS x FROM pages))
         SELECT regexp_extract(s, '^[^\t-\r\x1c-\x20\x{{85}}\x{{a0}}]+') AS word, count(*) AS n FROM s WHERE s <> '' GROUP BY 1""",
