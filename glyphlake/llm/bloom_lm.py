@@ -281,9 +281,9 @@ def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str =
         segments = {r.bucket: bytes(r.hashes) for r in learnt.where((F.col("kind") == 1) & F.col("bucket").between(part[0], part[-1])).select("bucket", "hashes").collect()} if part else {}
         model = sc.broadcast(Filter(segments, buckets))
         del segments
-        one = rows.mapInArrow(_scorer(head, model, buckets, n, v, tail_mean, smoothing, number == 0), _SCORED)
+        # a job of its own for each part: rows are numbered by partition, which all parts read alike
+        one = stash(rows.mapInArrow(_scorer(head, model, buckets, n, v, tail_mean, smoothing, number == 0), _SCORED), "lm-scores")
         scored = one if scored is None else scored.unionByName(one)
-    scored = stash(scored, "lm-scores")
     return _summed(scored, known, n)
 
 

@@ -115,7 +115,8 @@ def build_dictionary(pages: DataFrame, page_id: str, url: str, html: str) -> byt
             data = b""
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["dictionary"])
 
-    return bytes(sample.repartition(1).sortWithinPartitions("page_id").mapInArrow(train, "dictionary binary").first()[0])
+    found = sample.repartition(1).sortWithinPartitions("page_id").mapInArrow(train, "dictionary binary").first()
+    return bytes(found[0]) if found else b""
 
 
 def write_archives(pages: DataFrame, path: str | None = None, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
