@@ -139,7 +139,8 @@ def hex_f32(v: Column) -> Column:
         a = F.abs(x)
         normal = bind(_exponent(a, -126), lambda e: F.when(a < F.lit(2.0**-126), (a * F.lit(2.0**149)).cast("long")).otherwise((e + 127) * (1 << 23) + ((a / _two_to(e) - 1) * F.lit(2.0**23)).cast("long")))
         size_ = F.when(a == 0, F.lit(0).cast("long")).when(a == F.lit(float("inf")), F.lit(0x7F800000).cast("long")).when(F.isnan(x), F.lit(0x7FC00000).cast("long")).otherwise(normal)
-        return F.when(x < 0, size_ + (1 << 31)).otherwise(size_)
+        # a negative zero is below nothing, but shown with its sign
+        return F.when(x.cast("string").startswith("-"), size_ + (1 << 31)).otherwise(size_)
 
     return F.lpad(F.hex(bind(v.cast("float").cast("double"), bits)), 8, "0")
 
