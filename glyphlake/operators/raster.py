@@ -17,6 +17,7 @@ from glyphlake.functions import decoders as D
 from glyphlake.functions import images as I  # noqa: E741
 from glyphlake.operators import state, tiles
 from glyphlake.operators.images import raw_images
+from glyphlake.sources.work import materialize
 
 MAX_PIXELS = 12_000_000
 MAX_SET_PIXELS = 40_000_000
@@ -126,9 +127,9 @@ def _cell(r: dict) -> I.Image | None:
 
 def rasters(files: DataFrame, elements: DataFrame) -> DataFrame:
     """``doc_id, total_width, total_height, overlays, href``: of each document with a raster, either overlays or one background."""
-    first = tile_overlays(tiles.tiles(files, elements), elements)
-    payloads = raster_payloads(elements).join(first.select("doc_id"), "doc_id", "left_anti")
-    second = raster_overlays(payloads)
+    first = materialize(tile_overlays(materialize(tiles.tiles(files, elements), "tiles"), elements), "tile-overlays")
+    payloads = materialize(raster_payloads(elements).join(first.select("doc_id"), "doc_id", "left_anti"), "payloads")
+    second = materialize(raster_overlays(payloads), "raster-overlays")
     done = first.select("doc_id").unionByName(second.select("doc_id"))
     third = backgrounds(payloads.join(second.select("doc_id"), "doc_id", "left_anti"), raw_images(elements).join(done, "doc_id", "left_anti"), elements)
     overlays = first.unionByName(second).select("doc_id", F.col("total_width").cast("long").alias("total_width"), F.col("total_height").cast("long").alias("total_height"), "overlays", F.lit(None).cast("string").alias("href"))

@@ -10,6 +10,7 @@ from glyphlake.operators.diagnostics import analyze
 from glyphlake.operators.hotspots import hotspots
 from glyphlake.operators.images import raw_images
 from glyphlake.operators.svg import vector_svg
+from glyphlake.sources.work import materialize
 
 
 def element_histogram(elements: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def _list(rows: DataFrame, name: str, order: list[Column], *fields: Column) -> D
 
 def snapshots(files: DataFrame, elements: DataFrame) -> DataFrame:
     """``doc_id, snapshot``: a struct of sizes, histogram, elements, diagnostics, raw images, hotspots and the drawing."""
-    elements = elements.persist()
+    elements = materialize(elements, "elements")
     p, low = F.col("parameters"), lambda c: F.lower(F.hex(c))
     kinds = _list(element_histogram(elements), "element_histogram", [-F.col("count"), F.col("first")], F.col("class_id"), F.col("element_id"), F.col("count"))
     listed = _list(elements, "elements", [F.col("seq")], F.col("offset"), F.col("class_id"), F.col("element_id"), size(p).alias("parameter_length"), low(p).alias("parameters_hex"))
@@ -33,11 +34,11 @@ def snapshots(files: DataFrame, elements: DataFrame) -> DataFrame:
     fields = [c for c in studied.columns if c not in ("doc_id", "seq", "offset")]
     studies = _list(studied, "element29_analysis", [F.col("seq")], F.col("offset"), *[F.col(c) for c in fields], F.array().cast("array<string>").alias("decode_candidates"), F.lit(False).alias("has_plausible_decode"))
     images = _list(raw_images(elements), "raw_images", [F.col("index")], F.col("index"), F.col("element_offset"), F.col("width"), F.col("height"), F.col("local_color_precision"), F.col("cell_representation_mode"), size(F.col("payload")).alias("payload_size"), low(F.col("payload")).alias("payload_hex"))
-    spots = hotspots(elements)
+    spots = materialize(hotspots(elements), "hotspots")
     areas = _list(spots, "hotspots", [F.col("index")], *[F.col(c) for c in spots.columns if c != "doc_id"])
     out = files.select(F.col("doc_id").cast("string").alias("doc_id"), size(F.col("content")).alias("byte_length"))
     parts = (kinds, listed, studies, images, areas)
-    for part in (*parts, vector_svg(files, elements).withColumnRenamed("svg", "vector_svg")):
+    for part in (*parts, materialize(vector_svg(files, elements), "drawings").withColumnRenamed("svg", "vector_svg")):
         out = out.join(part, "doc_id", "left")
     whole = F.struct(
         "byte_length",

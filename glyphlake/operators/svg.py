@@ -10,6 +10,7 @@ from glyphlake.functions.text import escaped, fixed3, round3
 from glyphlake.operators import primitives as P
 from glyphlake.operators import state
 from glyphlake.operators.raster import rasters
+from glyphlake.sources.work import materialize
 
 MARKER_SIZE = 2.0
 CLIP_ID = "cgmClip0"
@@ -86,12 +87,13 @@ def _clip_lines() -> Column:
 def vector_svg(files: DataFrame, elements: DataFrame) -> DataFrame:
     """``doc_id, svg`` of every file (``doc_id, content``): rasters below, then lines, areas and texts by kind.
 
-    Elements, primitives and rasters are each read several times, so they are
-    persisted; ``spark.catalog.clearCache()`` frees them.
+    Elements, primitives and rasters are each read several times, so each is
+    written once as a table in the session's shared folder.
     """
-    elements = elements.persist()
-    images = rasters(files, elements).persist()
-    return compose(files, P.primitives(elements).persist(), state.drawing_state(elements).persist(), state.color_table(elements), images)
+    elements = materialize(elements, "elements")
+    images = materialize(rasters(files, elements), "rasters")
+    states = materialize(state.drawing_state(elements), "states")
+    return compose(files, materialize(P.primitives(elements), "primitives"), states, state.color_table(elements), images)
 
 
 def compose(docs: DataFrame, prims: DataFrame, states: DataFrame, table: DataFrame, images: DataFrame) -> DataFrame:

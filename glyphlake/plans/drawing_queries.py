@@ -15,6 +15,7 @@ from glyphlake.operators import raster, scopes, snapshot, state, svg, tiles
 from glyphlake.operators.images import raw_images as extract_raw_images
 from glyphlake.plans.synth import binary_files, table, text_files
 from glyphlake.sources import cleartext, files
+from glyphlake.sources.work import materialize
 
 
 def _n(name: str):  # noqa: ANN202
@@ -305,7 +306,7 @@ def svg_polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _polylines(spark, sf_dir)
     found = files.framing.frame_files(made)
     none = spark.createDataFrame([], f"doc_id string, total_width long, total_height long, overlays {raster.OVERLAYS}, href string")
-    drawn = svg.compose(made, P.primitives(found).persist(), state.drawing_state(found), state.color_table(found), none)
+    drawn = svg.compose(made, materialize(P.primitives(found), "primitives"), state.drawing_state(found), state.color_table(found), none)
     return drawn.select(F.col("doc_id").cast("long").alias("doc"), F.length("svg").cast("long").alias("chars"), F.md5("svg").alias("digest"))
 
 
