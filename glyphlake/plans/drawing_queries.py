@@ -41,12 +41,14 @@ def binary_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc"), "seq", "class_id", "element_id", F.octet_length("parameters").cast("long").alias("n"), F.md5("parameters").alias("digest"))
 
 
-_STATEMENT = F.when(F.col("l_linenumber") == 1, _say("LINE", _n("l_quantity"), _n("l_linenumber"), _n("l_discount"), _n("l_tax"))).when(F.col("l_linenumber") == 2, _say("RECT 0 0", _n("l_quantity"), _n("l_linenumber"))).when(F.col("l_linenumber") == 3, _say("CIRCLE 1 2", _n("l_quantity"))).when(F.col("l_linenumber") == 4, _say("TEXT 1 2", _quoted(F.col("l_returnflag")))).when(F.col("l_linenumber") == 5, F.lit("UNKNOWN 1 2")).otherwise(F.lit("VDCEXT 0 0 10 10"))
+def _statement():  # noqa: ANN202
+    """A statement for each line of an order, of a kind for each line number."""
+    return F.when(F.col("l_linenumber") == 1, _say("LINE", _n("l_quantity"), _n("l_linenumber"), _n("l_discount"), _n("l_tax"))).when(F.col("l_linenumber") == 2, _say("RECT 0 0", _n("l_quantity"), _n("l_linenumber"))).when(F.col("l_linenumber") == 3, _say("CIRCLE 1 2", _n("l_quantity"))).when(F.col("l_linenumber") == 4, _say("TEXT 1 2", _quoted(F.col("l_returnflag")))).when(F.col("l_linenumber") == 5, F.lit("UNKNOWN 1 2")).otherwise(F.lit("VDCEXT 0 0 10 10"))
 
 
 def text_to_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
-    made = text_files(rows, F.col("l_orderkey") % 100, F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), _STATEMENT)
+    made = text_files(rows, F.col("l_orderkey") % 100, F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), _statement())
     found = files.elements(made)
     return found.groupBy(F.col("doc_id").cast("long").alias("doc"), "class_id", "element_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("parameters")).cast("long").alias("bytes"))
 
@@ -326,7 +328,7 @@ def prefix_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def command_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of lines with their first word and how many numbers they hold."""
-    made = text_files(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") % 100, F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), _STATEMENT)
+    made = text_files(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") % 100, F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), _statement())
     found = cleartext.tokens(cleartext.split(made))
     return found.groupBy("command").agg(F.count("*").alias("n"), F.sum(F.size("numbers")).cast("long").alias("numbers"))
 
