@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: White space of characters up to 255, as a character class.
@@ -32,20 +32,18 @@ def pieces(s: Column) -> Column:
     return F.split(F.array_join(tokens, ""), _END)
 
 
-def statements(s: Column) -> Column:
-    """``array<struct<offset, statement>>``: statements that are not blank, and where they begin.
+def statements(rows: DataFrame, key: str, text: Column, offsets: bool = True) -> DataFrame:
+    """``key, seq, offset, statement``: the statements of each text that are not blank, and where they begin.
 
-    The offset is that of the first character after the semicolon before.
+    The offset is that of the first character after the semicolon before: a
+    running sum over the rows of the pieces, so long texts cost no more than in
+    proportion. Without ``offsets`` there is no shuffle.
     """
-    lengths = F.transform(pieces(s), lambda p: F.struct(p.alias("p"), F.length(p).alias("n")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<offset:bigint,statement:string>>").alias("out"))
-    folded = F.aggregate(
-        lengths,
-        start,
-        lambda acc, x: F.struct((acc["at"] + x["n"] + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("offset"), strip(x["p"]).alias("statement")))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.filter(folded, lambda x: x["statement"] != "")
+    each = rows.select(key, F.posexplode(pieces(text)).alias("seq", "piece")).withColumn("seq", F.col("seq").cast("long"))
+    if offsets:
+        before = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        each = each.withColumn("offset", F.coalesce(F.sum(F.length("piece") + 1).over(before), F.lit(0)).cast("long"))
+    return each.withColumn("statement", strip(F.col("piece"))).where("statement <> ''").drop("piece")
 
 
 def numbers(s: Column) -> Column:

@@ -31,7 +31,8 @@ def text_tiles(files: DataFrame) -> DataFrame:
     Statements are split without setting stray quotes right first, as binary
     files are read the same way.
     """
-    said = files.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(T.statements(latin(F.col("content")))).alias("seq", "s")).select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("s.statement").alias("statement"))
+    named = files.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
+    said = T.statements(named, "doc_id", latin(F.col("content")), offsets=False)
     command = F.upper(F.get(T.words(F.col("statement")), F.lit(0)))
     rows = said.withColumn("command", command).where(F.col("command").isin("BEGTILEARRAY", "ENDTILEARRAY", *C.TILES)).withColumn("numbers", T.numbers(F.col("statement")))
     n = F.size("numbers")

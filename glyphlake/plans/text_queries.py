@@ -16,7 +16,7 @@ _PIECES = r"""regexp_extract_all(html, '(?:[^;"'']|"[^"]*"?|''[^'']*''?)+')"""
 
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(T.statements(F.col("html"))).alias("s")).select("page_id", "s.offset", "s.statement")
+    return T.statements(table(spark, sf_dir, "pages"), "page_id", F.col("html"))
 
 
 def split_statements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,10 +55,10 @@ def split(files: DataFrame) -> DataFrame:
     ``seq`` is the place among the statements of the file; offsets are those of
     characters of the text set right.
     """
-    text = T.without_stray_quotes(latin(F.col("content")))
-    rows = files.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(T.statements(text)).alias("seq", "s"))
-    clean = F.regexp_replace(F.col("s.statement"), f"^[{T.WS}]*(?:[\"'][{T.WS}]*)*", "")
-    return rows.select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("s.offset").alias("offset"), clean.alias("statement")).where(F.size(T.words(F.col("statement"))) > 0)
+    named = files.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
+    rows = T.statements(named, "doc_id", T.without_stray_quotes(latin(F.col("content"))))
+    clean = F.regexp_replace("statement", f"^[{T.WS}]*(?:[\"'][{T.WS}]*)*", "")
+    return rows.select("doc_id", "seq", "offset", clean.alias("statement")).where(F.size(T.words(F.col("statement"))) > 0)
 
 
 def tokens(statements: DataFrame) -> DataFrame:

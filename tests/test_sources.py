@@ -104,7 +104,9 @@ def test_statements_against_a_loop(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice(["a", "LINE", " ", ";", '"', "'", "\n", "1", "\xa0", "é"]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: [(x.offset, x.statement) for x in r.s] for r in rows.select("i", T.statements(F.col("t")).alias("s")).collect()}
+    got = {i: [] for i in range(len(texts))}
+    for r in T.statements(rows, "i", F.col("t")).orderBy("i", "seq").collect():
+        got[r.i].append((r.offset, r.statement))
     assert got == {i: plain_split(t) for i, t in enumerate(texts)}
 
 
