@@ -16,7 +16,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_chunks.dedup_passages(table(spark, sf_dir, "documents"))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,59 @@ def test_line_chunks_cover_and_resist_shifts():
     assert line_chunks.cut([]) == []
 
 
+def brute_passages(docs, long_words):
+    """The definition, line by line: pairs of lines that are not blank, and long lines, with all places that hold them."""
+    places = defaultdict(list)
+    split = {}
+    for at, (d, t) in enumerate(docs):
+        if d is None or t is None:
+            continue
+        lines = t.split("\n")
+        filled = [i for i, x in enumerate(lines) if x.strip()]
+        units = [(i, j) for i, j in zip(filled, filled[1:])] + [(i, i) for i in filled if len(lines[i].split()) >= long_words]
+        split[at] = (lines, units)
+        for i, j in units:
+            places["\n".join(lines[i : j + 1])].append((d, i, j))
+    out = []
+    for at, (d, t) in enumerate(docs):
+        if at not in split:
+            out.append((d, t))
+            continue
+        lines, units = split[at]
+        gone = set()
+        for i, j in units:
+            first_doc, _, end = min(places["\n".join(lines[i : j + 1])])
+            if first_doc < d or end < i:
+                gone |= set(range(i, j + 1))
+        out.append((d, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("bits", [128, 6])
+def test_passages_against_brute_force(spark, bits):
+    rng = random.Random(13)
+    passages = ["\n".join(prose(rng, 8) for _ in range(n)) for n in (2, 3, 5, 9)] + [prose(rng, 60), "a b\n\n \nc d"]
+    docs = [(d, "\n".join([prose(rng, 6), passages[rng.randrange(6)], prose(rng, 6), *([passages[d % 6]] * (d % 5 == 0)), *([prose(rng, 3)] * (d % 2))])) for d in range(60)]
+    docs += [(70, "a\n\n\nb"), (71, "a\n\n\nb"), (72, "q\nq\nq"), (73, "r\nr\nr\nr\n"), (74, passages[4]), (75, passages[4] + "\n"), *ODD[:8]]
+    got = {(r.doc_id, r.text): r for r in line_chunks.dedup_passages(table(spark, docs), digest_bits=bits).collect()}
+    want = set(brute_passages(docs, line_chunks.LONG_WORDS))
+    if bits == 128:
+        assert set(got) == want
+    else:
+        kept = {(d, w) for d, t in want for w in (t or "").split()}
+        assert kept <= {(d, w) for d, t in got for w in (t or "").split()}
+
+
+def test_planted_passages_are_removed_whole(spark):
+    """Each passage, of two lines or of one long line too, goes from all documents but the first; the query does so."""
+    rng = random.Random(14)
+    own = lambda d, k: f"line {k} of document {d} alone"
+    passages = [[prose(rng, 9) + f" {p} {k}" for k in range(2 + p % 5)] for p in range(30)] + [[prose(rng, 55) + f" {p}"] for p in range(5)]
+    docs = [(d, "\n".join([own(d, 0), own(d, 1), *passages[d % 35], own(d, 2), own(d, 3)])) for d in range(105)]
+    got = {r.doc_id: r.text for r in line_chunks.dedup_passages(table(spark, docs)).collect()}
+    assert all(got[d] == (t if d < 35 else "\n".join(own(d, k) for k in range(4))) for d, t in docs)
+
+
 def test_line_dedup_empty(spark):
     assert line_chunks.dedup_lines(table(spark, []).limit(0)).count() == 0
 
