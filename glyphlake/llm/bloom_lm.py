@@ -238,10 +238,12 @@ def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str =
 
     All documents are counted: a task adds up what it has seen, so frequent words
     and pairs leave it once, and each bucket of hashes meets in one reducer. At
-    most ``head_tokens`` exact counts are broadcast; occurrences of rarer tokens
-    are sent to their bucket's counts and return as sums per document. The model
-    counts such a rare token as one of their average. The filter is broadcast in
-    parts of at most ``filter_bytes``, and documents are read once for each part.
+    most ``head_tokens`` exact counts (and that of the end token) are broadcast; pairs
+    with a rarer token are sent to the counts of the second token's bucket, then of
+    the first's, and return as sums per document. Both scores thus use exact counts
+    of all tokens, and unknown tokens count 0, whatever ``head_tokens`` is. The
+    filter is broadcast in parts of at most ``filter_bytes``, and documents are read
+    once for each part.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -257,13 +259,12 @@ def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str =
         for batch in batches:
             for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts = np.frombuffer(c, np.uint64)
-                keep = counts >= least
+                keep = (counts >= least) | (np.frombuffer(h, np.uint64) == END)
                 yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(h, np.uint64)[keep].tobytes()]), pa.array([counts[keep].tobytes()])], names=["hashes", "counts"])
 
     head_rows = known.select("hashes", "counts").mapInArrow(only_head, "hashes binary, counts binary").collect()
     head_hashes = np.frombuffer(b"".join(r.hashes for r in head_rows), np.uint64)
     head_counts = np.frombuffer(b"".join(r.counts for r in head_rows), np.uint64).astype(np.int64)
-    tail_mean = (n - int(head_counts.sum())) / (v - len(head_hashes)) if v > len(head_hashes) else 0.0
     head = sc.broadcast(Head(head_hashes, head_counts))
     del head_rows
 
@@ -282,12 +283,12 @@ def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str =
         model = sc.broadcast(Filter(segments, buckets))
         del segments
         # a job of its own for each part: rows are numbered by partition, which all parts read alike
-        one = stash(rows.mapInArrow(_scorer(head, model, buckets, n, v, tail_mean, smoothing, number == 0), _SCORED), "lm-scores")
+        one = stash(rows.mapInArrow(_scorer(head, model, buckets, n, v, smoothing, number == 0), _SCORED), "lm-scores")
         scored = one if scored is None else scored.unionByName(one)
-    return _summed(scored, known, n)
+    return _summed(scored, known, buckets, n, v, smoothing)
 
 
-_SCORED = "row long, doc_id long, learn boolean, n_tokens long, n_known long, base double, score double, bucket int, hashes binary, owners binary"
+_SCORED = "row long, doc_id long, learn boolean, n_tokens long, n_known long, base double, score double, step int, bucket int, pending binary"
 
 
 def _least_count(known: DataFrame, head_tokens: int) -> int:
@@ -312,8 +313,19 @@ def _least_count(known: DataFrame, head_tokens: int) -> int:
     return 1
 
 
-def _scorer(head, model, buckets: int, n: int, v: int, tail_mean: float, smoothing: float, first: bool):
-    """Rows of documents (base and model scores by what is broadcast) and, of the first part, packed occurrences of rare tokens."""
+#: A pair with a rare token: hashes of the second and the first token, or their counts once known (bits 1 and 2 of ``counts``).
+_PENDING = np.dtype([("second", "u8"), ("first", "u8"), ("row", "i8"), ("level", "u1"), ("counts", "u1")])
+
+
+def _log_probability(levels: np.ndarray, context: np.ndarray, count: np.ndarray, n: int, v: int, smoothing: float) -> np.ndarray:
+    """Of tokens that occur ``count`` times after tokens that occur ``context`` times."""
+    context = np.maximum(1.0, context)
+    trust = context / (context + smoothing) if n else np.zeros(len(context))
+    return np.log10(trust * np.minimum(COUNT_OF_LEVEL[levels], context) / context + (1 - trust) * (count + 1.0) / (n + v + 1))
+
+
+def _scorer(head, model, buckets: int, n: int, v: int, smoothing: float, first: bool):
+    """Rows of documents (base and model scores by what is broadcast) and the part's pairs with rare tokens, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
@@ -325,21 +337,21 @@ def _scorer(head, model, buckets: int, n: int, v: int, tail_mean: float, smoothi
                 size = np.array([len(s) for s in streams])
                 begin = np.concatenate([[0], np.cumsum(size)[:-1]])
                 stream = np.concatenate(streams)
+                before = np.append(END, stream[:-1])
                 owner = np.repeat(np.arange(len(size)), size)
                 count = head.value.count(stream)
-                rare = count == 0
-                value = np.zeros(len(stream))
+                context = np.append(head.value.count(np.array([END])), count[:-1])
+                # without anything to learn from, all counts are known to be 0
+                rare, rare_context = (count == 0) & (n > 0), (context == 0) & (n > 0)
                 pair = pairs(stream)
                 own = model.value.owns(pair) if len(model.value.data) else np.full(len(stream), first)
-                context = np.append(head.value.count(np.array([END])), count[:-1]).astype(np.float64)
-                context[begin] = max(1.0, float(head.value.count(np.array([END]))[0]))
-                context = np.where(context == 0, max(1.0, tail_mean), context)
-                seen = COUNT_OF_LEVEL[model.value.levels(pair[own])] if len(model.value.data) else np.zeros(int(own.sum()))
-                base = (np.where(rare, tail_mean, count)[own] + 1) / (n + v + 1)
-                context = context[own]
-                trust = context / (context + smoothing) if n else np.zeros(len(context))
-                value[own] = np.log10(trust * np.minimum(seen, context) / context + (1 - trust) * base)
-                exact = np.where(rare, 0.0, np.log10(np.maximum(count, 0) + 1.0)) - norm
+                levels = np.zeros(len(stream), np.int64)
+                if len(model.value.data):
+                    levels[own] = model.value.levels(pair[own])
+                ready, late = own & ~(rare | rare_context), own & (rare | rare_context)
+                value = np.zeros(len(stream))
+                value[ready] = _log_probability(levels[ready], context[ready], count[ready], n, v, smoothing)
+                exact = np.where(rare, 0.0, np.log10(count + 1.0)) - norm
                 add = lambda x: np.add.reduceat(x, begin)  # noqa: E731, B023
                 ids = np.arange(row, row + len(size))
                 row += len(size)
@@ -348,50 +360,84 @@ def _scorer(head, model, buckets: int, n: int, v: int, tail_mean: float, smoothi
                     "doc_id": part.column(0),
                     "learn": part.column(1),
                     "n_tokens": size if first else 0 * size,
-                    "n_known": add((~rare).astype(np.int64)) if first else 0 * size,
+                    "n_known": add((count > 0).astype(np.int64)) if first else 0 * size,
                     "base": add(exact) if first else 0.0 * size,
                     "score": add(value),
+                    "step": pa.nulls(len(size), pa.int32()),
                     "bucket": pa.nulls(len(size), pa.int32()),
-                    "hashes": pa.nulls(len(size), pa.binary()),
-                    "owners": pa.nulls(len(size), pa.binary()),
+                    "pending": pa.nulls(len(size), pa.binary()),
                 }
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in rows.values()], names=list(rows))
-                if first and rare.any():
-                    yield _occurrences(stream[rare], ids[owner[rare]], buckets)
+                if late.any():
+                    waiting = np.zeros(int(late.sum()), _PENDING)
+                    waiting["second"] = np.where(rare, stream, count.astype(np.uint64))[late]
+                    waiting["first"] = np.where(rare_context, before, context.astype(np.uint64))[late]
+                    waiting["row"], waiting["level"] = ids[owner[late]], levels[late]
+                    waiting["counts"] = (~rare[late]) + 2 * (~rare_context[late])
+                    by_second = waiting["counts"] & 1 == 0
+                    yield _waiting(waiting[by_second], "second", 1, buckets)
+                    yield _waiting(waiting[~by_second], "first", 2, buckets)
 
     return run
 
 
-def _occurrences(hashes: np.ndarray, owners: np.ndarray, buckets: int) -> pa.RecordBatch:
-    bucket = _bucket(hashes, buckets).astype(np.int64)
+def _dealt(records: np.ndarray, field: str, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Buckets of the hashes in a field, and the records of each."""
+    bucket = _bucket(records[field], buckets).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    hashes, owners, bucket = hashes[order], owners[order], bucket[order]
-    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    end = np.append(at[1:], len(bucket))
-    k = len(at)
+    records, bucket = records[order], bucket[order]
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.array([], np.int64)
+    return bucket[at].tolist(), [records[i:j].tobytes() for i, j in zip(at, [*at[1:], len(bucket)], strict=True)] if len(bucket) else []
+
+
+def _waiting(records: np.ndarray, field: str, step: int, buckets: int) -> pa.RecordBatch:
+    bucket, packed = _dealt(records, field, buckets)
+    k = len(bucket)
     return pa.RecordBatch.from_arrays(
-        [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(bucket[at].astype(np.int32)),
-         pa.array([hashes[i:j].tobytes() for i, j in zip(at, end, strict=True)], pa.binary()), pa.array([owners[i:j].tobytes() for i, j in zip(at, end, strict=True)], pa.binary())],
-        names=["row", "doc_id", "learn", "n_tokens", "n_known", "base", "score", "bucket", "hashes", "owners"],
+        [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array([step] * k, pa.int32()),
+         pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())],
+        names=["row", "doc_id", "learn", "n_tokens", "n_known", "base", "score", "step", "bucket", "pending"],
     )
 
 
-def _summed(scored: DataFrame, known: DataFrame, n: int) -> DataFrame:
-    def look_up(counts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
-            return pd.DataFrame({"row": [], "n_known": [], "base": []})
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in asked["hashes"]])
-        row = np.concatenate([np.frombuffer(x, np.int64) for x in asked["owners"]])
+_RESOLVED = "row long, n_known long, base double, score double, bucket int, pending binary"
+
+
+def _resolver(field: str, buckets: int, n: int, v: int, smoothing: float):
+    """Finds the counts of a field's tokens: sums per row (bucket -1), and what waits for the first token's count (row -1)."""
+
+    def resolve(counts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        r = np.frombuffer(b"".join(asked["pending"]), _PENDING).copy()
+        h = r[field]
         found = np.zeros(len(h), np.int64)
         if len(counts) and len(k := np.frombuffer(counts["hashes"].iloc[0], np.uint64)):
             at = np.minimum(np.searchsorted(k, h), len(k) - 1)
             found = np.where(k[at] == h, np.frombuffer(counts["counts"].iloc[0], np.uint64)[at].astype(np.int64), 0)
-        rows, inverse = np.unique(row, return_inverse=True)
-        return pd.DataFrame({"row": rows, "n_known": np.bincount(inverse, found > 0).astype(np.int64), "base": np.bincount(inverse, np.log10(found + 1.0))})
-
-    rare = known.select("bucket", "hashes", "counts").groupBy("bucket").cogroup(scored.where("row is null").select("bucket", "hashes", "owners").groupBy("bucket")).applyInPandas(look_up, "row long, n_known long, base double")
+        second = field == "second"
+        r[field] = found
+        r["counts"] |= 1 if second else 2
+        done = r["counts"] == 3
+        value = np.zeros(len(r))
+        value[done] = _log_probability(r["level"][done].astype(np.int64), r["first"][done].astype(np.float64), r["second"][done].astype(np.float64), n, v, smoothing)
+        rows, inverse = np.unique(r["row"], return_inverse=True)
+        sums = {"row": rows, "n_known": np.bincount(inverse, second & (found > 0), len(rows)).astype(np.int64), "base": np.bincount(inverse, np.log10(found + 1.0) * second, len(rows)), "score": np.bincount(inverse, value, len(rows)), "bucket": np.full(len(rows), -1), "pending": [b""] * len(rows)}
+        bucket, packed = _dealt(r[~done], "first", buckets)
+        rest = {"row": np.full(len(bucket), -1), "n_known": np.zeros(len(bucket), np.int64), "base": np.zeros(len(bucket)), "score": np.zeros(len(bucket)), "bucket": np.array(bucket, np.int64), "pending": packed}
+        return pd.concat([pd.DataFrame(sums), pd.DataFrame(rest)]) if bucket else pd.DataFrame(sums)
+
+    return resolve
+
+
+def _summed(scored: DataFrame, known: DataFrame, buckets: int, n: int, v: int, smoothing: float) -> DataFrame:
+    def resolved(field: str, waiting: DataFrame) -> DataFrame:
+        return known.select("bucket", "hashes", "counts").groupBy("bucket").cogroup(waiting.groupBy("bucket")).applyInPandas(_resolver(field, buckets, n, v, smoothing), _RESOLVED)
+
+    waiting = lambda step: scored.where(F.col("step") == step).select("bucket", "pending")
+    seconds = stash(resolved("second", waiting(1)), "lm-rare")
+    firsts = resolved("first", waiting(2).unionByName(seconds.where("row < 0").select("bucket", "pending")))
+    rare = seconds.where("row >= 0").unionByName(firsts)
     main = scored.where("row is not null").select("row", "doc_id", "learn", "n_tokens", "n_known", "base", "score")
-    rest = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("learn"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "base", F.lit(0.0).alias("score"))
+    rest = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("learn"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "base", "score")
     return (
         main.unionByName(rest)
         .groupBy("row")

@@ -376,6 +376,16 @@ def test_base_score_is_exact(spark):
     assert parts == whole
 
 
+def test_scores_do_not_depend_on_what_is_broadcast(spark):
+    rng = random.Random(15)
+    docs = table(spark, [(d, prose(rng, 40) + f" only{d} rare{d % 9} rare{d % 7} new{d} w1") for d in range(80)] + [(900, None), (901, ""), (None, "w1 w2 w3"), (905, "u1 u2")])
+    want = None
+    for head, bound in ((1 << 20, 1 << 20), (20, 1 << 20), (20, 200), (0, 1 << 20)):
+        got = sorted((r.doc_id or 0, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in bloom_lm.score(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 0, head_tokens=head, filter_bytes=bound).collect())
+        want = want or got
+        assert got == want, (head, bound)
+
+
 def test_model_beats_base_on_held_out_text(spark):
     rng = random.Random(10)
     follow = {w: rng.sample(WORDS, 3) for w in WORDS}
