@@ -7,7 +7,11 @@ is looked up among the digests of known licences.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
+from importlib import resources
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,6 +148,25 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+# Addresses that notices of the GNU licences have had.
+ADDRESSES = (
+    "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+    "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301, USA.",
+    "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA",
+    "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA",
+    "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA.",
+    "675 Mass Ave, Cambridge, MA 02139, USA.",
+)
+_ADDRESS = re.compile(r"51 Franklin St(?:reet)?,\s+Fifth\s+Floor,\s+Boston,\s+MA\s+02110-1301,?\s+USA")
+#: Names of the GNU licences in their headers, their identifiers and versions.
+GNU = (("GNU General Public License", "GPL", ("1", "2", "3")), ("GNU Library General Public License", "LGPL", ("2",)), ("GNU Lesser General Public License", "LGPL", ("2.1", "3")), ("GNU Affero General Public License", "AGPL", ("3",)))
+SUBJECTS = ("program", "library", "software", "file")
+MPL_HEADER = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {}://mozilla.org/MPL/2.0/."
+GFDL_HEADER = "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version {} or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.{}"
+_GFDL_END = ' A copy of the license is included in the section entitled "GNU Free Documentation License".'
+#: Where a text ends and its advice on how to use it begins.
+_APPENDIX = re.compile(r"(?m)^[ \t]*(?:How to Apply These Terms|How to use this License for your documents|ADDENDUM: How to use|APPENDIX: How to apply|Appendix: How to Apply|EXHIBIT A\b|Exhibit A - )")
+
 MAX_KNOWN = 200_000
 #: A text is looked up as a whole and, if a title stands above it, without it.
 TITLES = "^(the )?(mit|isc|zlib|bsd|unlicense|(new|simplified|modified|revised) bsd|bsd [023] clause|0bsd|zero clause bsd)( zero clause)?( license)?( mit)? "
@@ -157,7 +180,7 @@ def canonical(text: Column) -> Column:
     spellings of the table become their equal.
     """
     x = F.lower(text)
-    x = F.regexp_replace(x, "(?m)^[\\s/*#;%!-]*(?:©|\\(c\\)|copyright\\b(?=[^\\n]{0,40}(?:\\d{4}|©|\\(c\\)|<|\\[)))[^\\n]*+$", " ")
+    x = F.regexp_replace(x, "(?m)^[\\s/*#;%!-]*(?:©|\\(c\\)|copyright\\b(?=[^\\n]{0,40}(?:\\d{4}|©|\\(c\\)|<|\\[)))[^\\r\\n]*+$", " ")
     x = F.regexp_replace(x, "\\ball rights reserved\\b", " ")
     x = F.regexp_replace(x, "(?m)^\\s*(?:[*•-]|\\(?[a-z0-9]{1,2}[.)])\\s+", " ")
     x = F.regexp_replace(x, "&(?:amp;)?", " and ")
@@ -169,9 +192,42 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.when(x.rlike(f" (?:{one}) "), equal).otherwise(x), " +", " "))
 
 
+def headers() -> Iterator[tuple[str, str]]:
+    """Standard headers of files, in the wordings that their licences advise."""
+    ends = [f" if not, write to the Free Software Foundation, Inc., {a}" for a in ADDRESSES] + [f" if not, see <{scheme}://www.gnu.org/licenses/>." for scheme in ("http", "https")] + [None]
+    for (name, short, versions), subject, end in product(GNU, SUBJECTS, ends):
+        rest = f"This {subject} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+        if end is not None:
+            rest += f"\n\nYou should have received a copy of the {name} along with this {subject};{end}"
+        for version in versions:
+            spdx = f"{short}-{version if '.' in version else version + '.0'}"
+            says = f"This {subject} is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation"
+            for later in (f"either version {version} of the License, or (at your option) any later version", *(["either version 1, or (at your option) any later version"] if version == "1" else [])):
+                yield f"{spdx}-or-later", f"{says}; {later}.\n\n{rest}"
+            for only in (f"version {version} of the License", f"version {version}", f"version {version} only"):
+                yield f"{spdx}-only", f"{says}; {only}.\n\n{rest}"
+    for scheme in ("http", "https"):
+        yield "MPL-2.0", MPL_HEADER.format(scheme)
+    for version, end in product(("1.2", "1.3"), ("", _GFDL_END)):
+        yield f"GFDL-{version}-or-later", GFDL_HEADER.format(version, end)
+
+
+def full_texts() -> Iterator[tuple[str, str]]:
+    """The texts of the folder: as they are, without title, without advice, in unbroken paragraphs, with other addresses."""
+    for file in sorted(resources.files("glyphlake.llm").joinpath("licence_texts").iterdir(), key=lambda x: x.name):
+        spdx, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8").strip()
+        advice = _APPENDIX.search(text)
+        for body in (text, text[: advice.start()].rstrip()) if advice else (text,):
+            for one in (body, re.split(r"\n\s*\n", body, maxsplit=1)[1]):
+                yield spdx, one
+                yield spdx, re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", one)
+                if _ADDRESS.search(one):
+                    yield from ((spdx, _ADDRESS.sub(a.removesuffix("."), one)) for a in ADDRESSES)
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
-    """``digest, license_id``: some dozens of rows, whatever the input."""
-    rows = spark.createDataFrame([(a, b) for a, b in KNOWN], "license_id string, text string")
+    """``digest, license_id``: some hundreds of rows, whatever the input."""
+    rows = spark.createDataFrame([*KNOWN, *headers(), *full_texts()], "license_id string, text string")
     return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -353,6 +354,21 @@ def test_licences(spark):
     assert licences.scan(table(spark, []).limit(0)).count() == 0
 
 
+def test_whole_licence_texts_and_headers(spark):
+    folder = Path(licences.__file__).parent / "licence_texts"
+    texts = {f.stem: f.read_text() for f in folder.iterdir()}
+    assert {"Apache-2.0", "GPL-1.0-only", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Artistic-1.0-Perl", "GFDL-1.3-only"} <= set(texts)
+    header = "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU {0} as published by\n    the Free Software Foundation, either version {1} of the License, or\n    (at your option) any later version.\n\n    This program is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n    GNU {0} for more details.\n\n    You should have received a copy of the GNU {0}\n    along with this program.  If not, see <https://www.gnu.org/licenses/>.\n"
+    cases = [(k, t) for k, t in texts.items()] + [(k, t.upper().replace("\n", "\r\n")) for k, t in texts.items()]
+    cases += [("GPL-2.0-only", texts["GPL-2.0-only"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"))]
+    cases += [("GPL-3.0-only", texts["GPL-3.0-only"].split("How to Apply")[0]), ("Apache-2.0", texts["Apache-2.0"].split("APPENDIX:")[0])]
+    cases += [("GPL-3.0-or-later", header.format("General Public License", 3)), ("GPL-2.0-or-later", "Copyright (C) 2001 Some One\n\n" + header.format("General Public License", 2)), ("AGPL-3.0-or-later", header.format("Affero General Public License", 3))]
+    cases += [("LGPL-2.1-or-later", "".join(f" * {x.strip()}\n" for x in header.format("Lesser General Public License", "2.1").replace("program", "library").split("\n")))]
+    cases += [(None, texts["GPL-3.0-only"] + " but not quite"), (None, texts["MPL-2.0"][:5000])]
+    got = {r.doc_id: r.license_id for r in licences.scan(table(spark, [(i, t) for i, (_, t) in enumerate(cases)])).collect()}
+    assert [(k, got[i]) for i, (k, _) in enumerate(cases) if got[i] != k] == []
+
+
 # --- language model
 
 
