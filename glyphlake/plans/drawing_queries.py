@@ -41,6 +41,14 @@ def binary_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc"), "seq", "class_id", "element_id", F.octet_length("parameters").cast("long").alias("n"), F.md5("parameters").alias("digest"))
 
 
+def binary_framing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as elements of fifty binary files: the type of each third event, the properties of the others, both whole."""
+    rows = table(spark, sf_dir, "events")
+    made = binary_files(rows, F.col("event_id") % 50, F.col("event_id"), F.col("event_id") % 9, F.col("event_id") % 128, F.hex(F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("props"))))
+    found = files.framing.frame_files(made)
+    return found.select(F.col("doc_id").cast("long").alias("doc"), "seq", "class_id", "element_id", F.octet_length("parameters").cast("long").alias("n"), F.md5("parameters").alias("digest"))
+
+
 def _statement():  # noqa: ANN202
     """A statement for each line of an order, of a kind for each line number."""
     return F.when(F.col("l_linenumber") == 1, _say("LINE", _n("l_quantity"), _n("l_linenumber"), _n("l_discount"), _n("l_tax"))).when(F.col("l_linenumber") == 2, _say("RECT 0 0", _n("l_quantity"), _n("l_linenumber"))).when(F.col("l_linenumber") == 3, _say("CIRCLE 1 2", _n("l_quantity"))).when(F.col("l_linenumber") == 4, _say("TEXT 1 2", _quoted(F.col("l_returnflag")))).when(F.col("l_linenumber") == 5, F.lit("UNKNOWN 1 2")).otherwise(F.lit("VDCEXT 0 0 10 10"))
@@ -195,6 +203,22 @@ def text_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("kind = 'text'").select(F.col("doc_id").cast("long").alias("conv_id"), F.get("points", F.lit(0))["x"].cast("long").alias("turn"), F.col("text").alias("said"))
 
 
+def text_append_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of turns, in pieces of up to 254 bytes: those of users are texts, all else is appended to them.
+
+    Texts of metafiles are read if they are printable ASCII, so all other characters are escaped as in URLs.
+    """
+    rows = table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", "role", F.url_encode("text").alias("whole"))
+    cut = F.transform(F.sequence(F.lit(0), F.length("whole") - 1, F.lit(254)), lambda at: F.substring(F.col("whole"), at + 1, F.lit(254)))
+    pieces = rows.select("conv_id", "turn", "role", F.posexplode(cut).alias("k", "said"))
+    packed = F.concat(hex_unsigned(F.length("said"), 1), F.hex("said"))
+    starts = (F.col("role") == "user") & (F.col("k") == 0)
+    made = binary_files(pieces, F.col("conv_id"), F.struct(F.col("turn").cast("long").alias("t"), F.col("k").alias("k")), F.lit(4), F.when(starts, 5).otherwise(6), F.when(starts, F.concat(hex_f32(F.col("turn").cast("double")), F.lit("3f800000"), packed)).otherwise(packed))
+    declared = F.unhex(F.lit("10620001" + "11820020"))
+    found = P.primitives(files.framing.frame_files(made.select("doc_id", F.concat(declared, "content").alias("content"))))
+    return found.where("kind = 'text'").select(F.col("doc_id").cast("long").alias("conv_id"), F.get("points", F.lit(0))["x"].cast("long").alias("turn"), F.url_decode("text").alias("said"))
+
+
 # --- images and tiles
 
 
@@ -335,7 +359,7 @@ def command_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (binary_framing, text_to_elements, f32_points, i16_points, i32_points, f64_points, vdc_extents, circles_ellipses, disjoint_segments, gdp_payloads, profile_last_wins, style_carry, color_tables, default_palette, color_scaling, scope_owner, hotspots_geometry, hotspots_region, text_append, raw_images, tile_grids, tile_arrays_text, tile_positions, tile_arrays_binary, bitonal_pixels, trial_widths, decode_sizes, fax_round_trip, svg_bounds, svg_polylines, element_histogram, prefix_census, command_kinds)
+    for f in (binary_framing, binary_framing_whole, text_to_elements, f32_points, i16_points, i32_points, f64_points, vdc_extents, circles_ellipses, disjoint_segments, gdp_payloads, profile_last_wins, style_carry, color_tables, default_palette, color_scaling, scope_owner, hotspots_geometry, hotspots_region, text_append, text_append_whole, raw_images, tile_grids, tile_arrays_text, tile_positions, tile_arrays_binary, bitonal_pixels, trial_widths, decode_sizes, fax_round_trip, svg_bounds, svg_polylines, element_histogram, prefix_census, command_kinds)
 }
 
 _LINE_POINTS = "SELECT l_orderkey, count(*) AS n, CAST(min({x}) AS DOUBLE) AS x_min, CAST(max({x}) AS DOUBLE) AS x_max, CAST(min({y}) AS DOUBLE) AS y_min, CAST(max({y}) AS DOUBLE) AS y_max FROM lineitem GROUP BY l_orderkey"
@@ -350,6 +374,9 @@ SQL = {
     "binary_framing": """
         SELECT event_id % 50 AS doc, row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) - 1 AS seq, CAST(event_id % 9 AS INTEGER) AS class_id, CAST(event_id % 128 AS INTEGER) AS element_id,
           CAST(octet_length(encode(CASE WHEN event_id % 3 = 0 THEN left(props, 7) ELSE props END)) AS BIGINT) AS n, md5(CASE WHEN event_id % 3 = 0 THEN left(props, 7) ELSE props END) AS digest FROM events""",
+    "binary_framing_whole": """
+        SELECT event_id % 50 AS doc, row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) - 1 AS seq, CAST(event_id % 9 AS INTEGER) AS class_id, CAST(event_id % 128 AS INTEGER) AS element_id,
+          CAST(octet_length(encode(CASE WHEN event_id % 3 = 0 THEN event_type ELSE props END)) AS BIGINT) AS n, md5(CASE WHEN event_id % 3 = 0 THEN event_type ELSE props END) AS digest FROM events""",
     "text_to_elements": """
         WITH e AS (SELECT l_orderkey % 100 AS doc, CASE WHEN l_linenumber <= 4 THEN 4 ELSE 2 END AS class_id, CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 11 WHEN 3 THEN 12 WHEN 4 THEN 5 ELSE 6 END AS element_id,
           CASE l_linenumber WHEN 1 THEN 16 WHEN 2 THEN 16 WHEN 3 THEN 12 WHEN 4 THEN 9 + length(l_returnflag) ELSE 8 END AS b FROM lineitem WHERE l_linenumber <> 5)
@@ -412,6 +439,9 @@ SQL = {
         WITH c AS (SELECT conv_id, turn, role, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 60) AS t FROM conversations),
         g AS (SELECT *, sum(CASE WHEN role = 'user' AND t <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS g FROM c)
         SELECT conv_id, min(turn) AS turn, string_agg(t, '' ORDER BY turn) AS said FROM g WHERE g > 0 AND t <> '' GROUP BY conv_id, g""",
+    "text_append_whole": """
+        WITH g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS g FROM conversations WHERE text <> '')
+        SELECT conv_id, min(turn) AS turn, string_agg(text, '' ORDER BY turn) AS said FROM g WHERE g > 0 GROUP BY conv_id, g""",
     "raw_images": """
         SELECT p_partkey % 40 AS doc, row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_partkey) - 1 AS index, CAST(greatest(1, p_size) AS BIGINT) AS width, greatest(1, p_partkey % 7) AS height,
           printf('%02x%02x', CAST(p_partkey % 256 AS INTEGER), CAST(least(255, p_size) AS INTEGER)) AS payload FROM part""",

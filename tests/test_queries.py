@@ -46,6 +46,20 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
+def test_appended_texts_are_whole(spark):
+    from collections import defaultdict
+
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect()
+    want, begin = defaultdict(str), {}
+    for r in turns:
+        if r.role == "user" and r.text:
+            begin[r.conv_id] = r.turn
+        if r.conv_id in begin:
+            want[r.conv_id, begin[r.conv_id]] += r.text or ""
+    got = {(r.conv_id, r.turn): r.said for r in entry().queries()["text_append_whole"](spark, SF).collect()}
+    assert got == want and max(map(len, got.values())) > 255
+
+
 def test_entry(spark):
     df = entry().entry(spark)
     assert df.count() > 0 and "source_tag" in df.columns
