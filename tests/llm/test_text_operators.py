@@ -433,6 +433,16 @@ def test_filter_never_underestimates():
     assert (f.levels(other) > 0).mean() < 0.15
 
 
+def test_filter_error_rate():
+    rng = np.random.default_rng(12)
+    h = np.unique(rng.integers(0, 1 << 63, 200_000).astype(np.uint64))
+    c = rng.geometric(0.5, len(h))
+    f = bloom_lm.Filter({0: bloom_lm.build_segment(h, c).tobytes()}, 1)
+    other = rng.integers(1 << 63, (1 << 64) - 1, 200_000, dtype=np.uint64)
+    assert (f.levels(other) > 0).mean() < 0.004
+    assert (f.levels(h) > bloom_lm.level(c)).mean() < 0.004
+
+
 # --- language identification
 
 
