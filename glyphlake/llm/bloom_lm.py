@@ -29,7 +29,7 @@ from glyphlake.llm.common import stash
 #: Probes of a key, and bits of the filter for each key: 0.24 % of absent keys read as present.
 PROBES = 4
 BITS_PER_KEY = 16
-LEVELS = 24
+LEVELS = 48
 #: Weight of the base probability, in pairs.
 SMOOTHING = 5.0
 #: Distinct tokens whose exact counts are broadcast: those above the count that leaves at most so many.

@@ -443,6 +443,13 @@ def test_filter_error_rate():
     assert (f.levels(h) > bloom_lm.level(c)).mean() < 0.004
 
 
+def test_large_counts_keep_their_level():
+    c = np.array([1, 1 << 24, 3 << 24, 1 << 40], np.int64)
+    h = bloom_lm._mix(np.arange(1, 5, dtype=np.uint64))
+    got = bloom_lm.COUNT_OF_LEVEL[bloom_lm.Filter({0: bloom_lm.build_segment(h, c).tobytes()}, 1).levels(h)]
+    assert (got > c * 0.7).all() and (got < c * 1.6).all()
+
+
 # --- language identification
 
 
