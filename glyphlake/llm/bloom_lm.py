@@ -1,18 +1,23 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-Counts of word pairs are quantised to levels of powers of two. A filter holds, for
-a pair of level q, the keys (pair, 1) to (pair, q); probing them in turn until one
-is missing gives the level back, never too low. The filter is dealt by the pairs'
-hashes into segments, each built by one reducer from all counts of its pairs. It
-is broadcast, in as many parts as its bound asks for: each part scores the pairs
-that are its own, and the parts' scores add up.
-
-Probability of a word w after v: c(v w) / c(v) with the filter's count, mixed with
-the base probability (c(w) + 1) / (N + V + 1) by the weight c(v) / (c(v) + K).
+Counts of word pairs are quantised to levels: 1, 2, 3, 4, 6, 8, 12 and so on, two
+for each power of two. A filter holds, for a pair of level q, the keys (pair, 1)
+to (pair, q); probing them in turn until one is missing gives the level back,
+never too low. The filter is dealt by the pairs' hashes into segments whose
+number follows the size of the corpus, so it is too large to be broadcast:
+the pairs that texts ask for travel to their segment, and levels travel back.
+
+Probability of a word w after v: the count that the level of (v w) stands for,
+which no pair of that level is below, over c(v), mixed with the base probability
+(c(w) + 1) / (N + V + 1) by the weight c(v) / (c(v) + K). The counts that levels
+stand for add up to c(v) at most over all w, so the probabilities of what may
+follow v add up to 1 at most, up to the filter's false answers.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,24 +25,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import stash
+from glyphlake.llm.common import Scratch, dealt, fs_path, stash
 
 #: Probes of a key, and bits of the filter for each key: 0.24 % of absent keys read as present.
 PROBES = 4
 BITS_PER_KEY = 16
-LEVELS = 48
+LEVELS = 96
 #: Weight of the base probability, in pairs.
 SMOOTHING = 5.0
-#: Distinct tokens whose exact counts are broadcast: those above the count that leaves at most so many.
-HEAD_TOKENS = 1 << 20
-#: Bytes of the filter that are broadcast at once.
-FILTER_BYTES = 64 << 20
-#: Tokens that a task gathers before it counts them.
-FLUSH = 4_000_000
+#: Bytes of text for each bucket of hashes, and the fewest buckets.
+BUCKET_BYTES = 32 << 20
+LEAST_BUCKETS = 16
+#: Tokens of a block: documents that one task counts together, and scores together.
+BLOCK_TOKENS = 3_000_000
 #: The token that ends each document and stands before its first word.
 END = np.uint64(0x6A09E667F3BCC909)
 
@@ -69,26 +74,14 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _count(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(hashes, return_counts=True)
-
-
-def _merge(parts: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in parts])
-    c = np.concatenate([np.frombuffer(x, np.uint32) for x in counts]).astype(np.int64)
-    order = np.argsort(h, kind="stable")
-    h, c = h[order], c[order]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.array([], np.int64)
-    return h[first], np.add.reduceat(c, first) if len(h) else c
-
-
 def level(counts: np.ndarray) -> np.ndarray:
-    """1 for 1, 2 for 2 and 3, 3 for 4 to 7 and so on."""
-    return np.minimum(LEVELS, np.frexp(counts.astype(np.float64))[1])
+    """1 for 1, 2 for 2, 3 for 3, 4 for 4 and 5, 5 for 6 and 7, 6 for 8 to 11 and so on."""
+    fraction, power = np.frexp(counts.astype(np.float64))
+    return np.minimum(LEVELS, np.where(counts > 0, np.maximum(1, 2 * (power - 1) + (fraction >= 0.75)), 0))
 
 
-#: What a level stands for: the middle of its counts.
-COUNT_OF_LEVEL = np.array([0.0, 1.0, *(1.5 * 2 ** (q - 1) - 0.5 for q in range(2, LEVELS + 1))])
+#: What a level stands for: the smallest of its counts.
+COUNT_OF_LEVEL = np.array([0.0, 1.0, *((1.5 if q % 2 else 1.0) * 2.0 ** (q // 2) for q in range(2, LEVELS + 1))])
 
 
 def _places(hashes: np.ndarray, q: int, bits: np.ndarray) -> Iterator[np.ndarray]:
@@ -99,10 +92,10 @@ def _places(hashes: np.ndarray, q: int, bits: np.ndarray) -> Iterator[np.ndarray
         yield ((a + np.uint64(k) * b) & np.uint64(0xFFFFFFFF)) * bits >> np.uint64(32)
 
 
-def build_segment(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def build_segment(hashes: np.ndarray, counts: np.ndarray, bits_per_key: int = BITS_PER_KEY) -> np.ndarray:
     """The filter of some pairs as bytes; its size follows the number of keys."""
     levels = level(counts)
-    bits = np.uint64(max(64, int(levels.sum()) * BITS_PER_KEY + 63 & ~63))
+    bits = np.uint64(max(64, int(levels.sum()) * bits_per_key + 63 & ~63))
     out = np.zeros(int(bits), bool)
     for q in range(1, int(levels.max(initial=0)) + 1):
         for at in _places(hashes[levels >= q], q, bits):
@@ -111,7 +104,7 @@ def build_segment(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Segments of the filter, all or those of a part, in one array."""
+    """Segments of the filter in one array."""
 
     def __init__(self, segments: dict[int, bytes], buckets: int) -> None:
         self.buckets = buckets
@@ -122,9 +115,6 @@ class Filter:
             at += len(segments[b])
         self.data = np.frombuffer(b"".join(segments[b] for b in sorted(segments)), np.uint8)
 
-    def owns(self, hashes: np.ndarray) -> np.ndarray:
-        return self.bits[_bucket(hashes, self.buckets).astype(np.int64)] > 0
-
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """The level of each hash; 0 where the first key is missing."""
         out = np.zeros(len(hashes), np.int64)
@@ -143,304 +133,210 @@ class Filter:
         return out
 
 
-def _packed(kind: int, hashes: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple]:
-    bucket = _bucket(hashes, buckets).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    hashes, counts, bucket = hashes[order], counts[order].astype(np.uint32), bucket[order]
-    ends = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.unique(bucket):
-        part = slice(ends[b], ends[b + 1])
-        yield kind, int(b), hashes[part].tobytes(), counts[part].tobytes()
+# --- what travels: rows of a kind, a bucket and a block
 
+TOKENS, PAIRS = 0, 1
+_ASKED = "kind int, bucket int, block string, hashes binary, counts binary"
+_ANSWERED = "kind int, bucket int, block string, answer binary, distinct long, total long"
+#: Bytes of a pair's hash that are sent: what its bucket does not tell.
+_PAIR_BYTES = 5
 
-_PACKED = "kind int, bucket int, hashes binary, counts binary"
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs; the first byte says how many."""
+    width = next(w for w in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    cols = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["kind", "bucket", "hashes", "counts"])
 
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
-def _gather(texts: DataFrame, buckets: int) -> DataFrame:
-    """Counts of tokens (kind 0) and pairs (kind 1) by task and bucket, packed."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+def _cut(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray((hashes >> np.uint64(1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PAIR_BYTES]).tobytes()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            stream = np.concatenate(held)
-            yield _batch(list(_packed(0, *_count(stream), buckets)))
-            yield _batch(list(_packed(1, *_count(pairs(stream)), buckets)))
 
+def _uncut(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // _PAIR_BYTES, 8), np.uint8)
+    out[:, :_PAIR_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _PAIR_BYTES)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _distinct_pairs(stream: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct pairs, in order, with their counts where ``learn`` holds; the lowest bit is not used."""
+    h = np.sort(pairs(stream) & ~np.uint64(1) | learn.astype(np.uint64))
+    first = np.flatnonzero(np.append(True, h[1:] >> np.uint64(1) != h[:-1] >> np.uint64(1)))
+    return h[first] & ~np.uint64(1), np.add.reduceat((h & np.uint64(1)).astype(np.int64), first)
+
+
+def _by_bucket(kind: int, block: str, hashes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row a bucket; the hashes are in order, and so are their buckets."""
+    bucket = _bucket(hashes, buckets).astype(np.int64)
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends = [*at[1:].tolist(), len(bucket)]
+    pack = _cut if kind == PAIRS else np.ndarray.tobytes
+    spans = list(zip(at.tolist(), ends, strict=True))
+    cols = [pa.array([kind] * len(at), pa.int32()), pa.array(bucket[at], pa.int32()), pa.array([block] * len(at)), pa.array([pack(hashes[i:j]) for i, j in spans], pa.binary()), pa.array([_narrow(counts[i:j]) for i, j in spans], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, names=["kind", "bucket", "block", "hashes", "counts"])
+
+
+# --- blocks of documents, kept in the shared folder until they are scored
+
+
+def _pack_block(ids: list, learn: np.ndarray, sizes: np.ndarray, places: np.ndarray, tokens_: np.ndarray) -> bytes:
+    """Ids and sizes of documents, their tokens as places in a table of distinct tokens, commonest first."""
+    buffer = io.BytesIO()
+    none = np.array([i is None for i in ids], bool)
+    planes = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    np.savez(buffer, ids=np.array([0 if i is None else i for i in ids], np.int64), none=none, learn=learn, sizes=sizes, planes=planes, tokens=tokens_)
+    return zstandard.ZstdCompressor(level=1).compress(buffer.getvalue())
+
+
+def _unpack_block(data: bytes):
+    with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data))) as x:
+        places = np.ascontiguousarray(x["planes"].T).view("<u4").ravel()
+        return x["ids"], x["none"], x["learn"], x["sizes"], places, x["tokens"]
+
+
+def _keep_block(folder: str, name: str, data: bytes) -> None:
+    """Write under a name of this attempt, then move: a task that is run again writes the same file."""
+    fs, path = fs_path(folder)
+    fs.create_dir(path, recursive=True)
+    own = f"{path}/{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(own) as out:
+        out.write(data)
+    fs.move(own, f"{path}/{name}")
+
+
+def _asker(folder: str, buckets: int, block_tokens: int):
+    """Blocks of documents: each is kept in the folder, and asks for the counts of its distinct tokens and pairs."""
+
+    def flush(name: str, ids: list, learn: list, streams: list) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(s) for s in streams])
+        stream = np.concatenate(streams)
+        learnt = np.repeat(np.array(learn, bool), sizes)
+        known, place, times = np.unique(stream, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(known), np.int64)
+        rank[order] = np.arange(len(known))
+        data = _pack_block(ids, np.array(learn, bool), sizes, rank[place], known[order])
+        # what is read again after a loss is the same block only if it holds the same
+        name = f"{name}-{xxhash.xxh3_128_hexdigest(data)}"
+        _keep_block(folder, name, data)
+        yield _by_bucket(TOKENS, name, known, np.bincount(place, learnt, len(known)).astype(np.int64), buckets)
+        del place, rank, data
+        yield _by_bucket(PAIRS, name, *_distinct_pairs(stream, learnt), buckets)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, size = TaskContext.get().partitionId(), 0, 0
+        ids, learn, streams = [], [], []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(tokens(text))
-                size += len(held[-1])
-                if size >= FLUSH:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
-
-    return texts.mapInArrow(count, _PACKED)
-
-
-def _merged(group: pd.DataFrame) -> pd.DataFrame:
-    """All counts of a bucket: those of tokens as they are, those of pairs as a filter segment."""
-    kind, bucket = int(group["kind"].iloc[0]), int(group["bucket"].iloc[0])
-    h, c = _merge(group["hashes"].to_list(), group["counts"].to_list())
-    row = {"kind": kind, "bucket": bucket, "distinct": len(h), "total": int(c.sum())}
-    if kind == 0:
-        return pd.DataFrame([row | {"hashes": h.tobytes(), "counts": c.astype(np.uint64).tobytes(), "keys": 0}])
-    return pd.DataFrame([row | {"hashes": build_segment(h, c).tobytes(), "counts": b"", "keys": int(level(c).sum())}])
-
-
-class Head:
-    """Exact counts of frequent tokens, sorted by hash, for lookups of whole arrays."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        # where the hashes of each value of the upper 20 bits begin: a search starts close to its end
-        self.begin = np.searchsorted(self.hashes >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64))
-
-    def count(self, asked: np.ndarray) -> np.ndarray:
-        """Counts of the hashes; 0 for those that are not there."""
-        if not len(self.hashes):
-            return np.zeros(len(asked), np.int64)
-        top = (asked >> np.uint64(44)).astype(np.int64)
-        at, end = self.begin[top], self.begin[top + 1]
-        out = np.zeros(len(asked), np.int64)
-        left = np.flatnonzero(at < end)
-        at = at[left]
-        while len(left):
-            found = self.hashes[at] == asked[left]
-            out[left[found]] = self.counts[at[found]]
-            on = ~found & (at + 1 < end[left])
-            left, at = left[on], at[on] + 1
+            for i, learns, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                ids.append(i)
+                learn.append(learns)
+                streams.append(tokens(text))
+                size += len(streams[-1])
+                if size >= block_tokens:
+                    yield from flush(f"{task}-{number}", ids, learn, streams)
+                    number, size, ids, learn, streams = number + 1, 0, [], [], []
+        if ids:
+            yield from flush(f"{task}-{number}", ids, learn, streams)
+
+    return ask
+
+
+def _answerer(bits_per_key: int):
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        """All that blocks ask of a bucket: exact counts of tokens, levels of pairs by the bucket's filter segment."""
+        kind, bucket = int(group["kind"].iloc[0]), int(group["bucket"].iloc[0])
+        parts = [_uncut(x) if kind == PAIRS else np.frombuffer(x, np.uint64) for x in group["hashes"]]
+        h, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        c = np.bincount(inverse, np.concatenate([_wide(x) for x in group["counts"]]), len(h)).astype(np.int64)
+        if kind == PAIRS:
+            segment = build_segment(h[c > 0], c[c > 0], bits_per_key).tobytes()
+            values = Filter({0: segment}, 1).levels(h)
+        else:
+            values = c
+        ends = np.cumsum([len(x) for x in parts])[:-1]
+        answers = [_narrow(x) for x in np.split(values[inverse], ends)]
+        rows = pd.DataFrame({"kind": kind, "bucket": bucket, "block": group["block"].to_numpy(), "answer": answers, "distinct": 0, "total": 0})
+        rows.loc[rows.index[0], ["distinct", "total"]] = (int((c > 0).sum()), int(c.sum()))
+        return rows
+
+    return answer
+
+
+def _probability(levels: np.ndarray, context: np.ndarray, count: np.ndarray, n: int, v: int, smoothing: float) -> np.ndarray:
+    """Of tokens that occur ``count`` times after tokens that occur ``context`` times; the base alone where nothing was learnt."""
+    base = (count + 1.0) / (n + v + 1)
+    met = np.maximum(1.0, context)
+    trust = context / (context + smoothing) if smoothing else (context > 0).astype(float)
+    return trust * np.minimum(COUNT_OF_LEVEL[levels], met) / met + (1 - trust) * base
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scorer(folder: str, n: int, v: int, smoothing: float):
+    def score_block(answers: pd.DataFrame) -> pd.DataFrame:
+        fs, path = fs_path(folder)
+        with fs.open_input_stream(f"{path}/{answers['block'].iloc[0]}") as f:
+            ids, none, learn, sizes, places, known = _unpack_block(f.read())
+        answers = answers.sort_values("bucket")
+        got = [np.concatenate([_wide(x) for x in answers.loc[answers["kind"] == k, "answer"]]) for k in (TOKENS, PAIRS)]
+        stream = known[places]
+        distinct, place = np.unique(pairs(stream) & ~np.uint64(1), return_inverse=True)
+        if len(got[0]) != len(known) or len(got[1]) != len(distinct):
+            raise ValueError("the answers do not match the block: its documents were not read alike twice")
+        counts = np.empty(len(known), np.int64)
+        counts[np.argsort(known)] = got[0]
+        count = counts[places].astype(np.float64)
+        first = np.append(0, np.cumsum(sizes)[:-1])
+        # the end of the document before stands in front of each document; that of the block has the same count
+        context = np.append(count[sizes[0] - 1], count[:-1])
+        value = np.log10(_probability(got[1][place], context, count, n, v, smoothing))
+        add = lambda x: np.add.reduceat(x, first)
+        out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": ~learn, "n_tokens": sizes, "n_known": add((count > 0).astype(np.int64)), "train_tokens": n, "base_score": add(np.log10(count + 1.0)) - sizes * np.log10(n + v + 1.0), "score": add(value)})
+        out.loc[none, "doc_id"] = pd.NA
         return out
 
+    return score_block
+
 
-def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", head_tokens: int = HEAD_TOKENS, filter_bytes: int = FILTER_BYTES, smoothing: float = SMOOTHING, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", smoothing: float = SMOOTHING, bits_per_key: int = BITS_PER_KEY, buckets: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Score every document with a model of those where ``learn`` holds.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``,
     one row per row of docs; ``held_out`` is ``not learn``. Tokens are words with
     A-Z lower-cased, then one end token a document. ``base_score`` is exact: the sum
     of log10((c + 1) / (N + V + 1)) over the tokens. ``score`` is the model's log10
-    probability of the text. Words are told apart by 64-bit hashes.
+    probability of the text, with the exact counts of all words and the filter's
+    counts of pairs. Words are told apart by 64-bit hashes.
 
     Null texts are empty: the end token alone. Rows with null ids and repeated
     rows are each scored, and learnt from as often as they occur; where ``learn``
     is null, a document is held out. Without anything to learn from, N and V are 0.
     An empty table gives no rows; other columns are ignored.
 
-    All documents are counted: a task adds up what it has seen, so frequent words
-    and pairs leave it once, and each bucket of hashes meets in one reducer. At
-    most ``head_tokens`` exact counts (and that of the end token) are broadcast; pairs
-    with a rarer token are sent to the counts of the second token's bucket, then of
-    the first's, and return as sums per document. Both scores thus use exact counts
-    of all tokens, and unknown tokens count 0, whatever ``head_tokens`` is. The
-    filter is broadcast in parts of at most ``filter_bytes``, and documents are read
-    once for each part.
+    Documents are read once for their size, once for their words. A task puts
+    them in blocks of ``block_tokens`` tokens (or one longer text); a block asks for
+    each of its distinct words and pairs once, so frequent ones leave it once.
+    Buckets of hashes, one for ``BUCKET_BYTES`` of text, count what is learnt, build
+    the segment of the filter and answer; a block's answers meet it again. Nothing
+    is broadcast, and the driver gets two numbers. The result does not depend on
+    ``buckets`` or ``block_tokens`` but for what the filter's false answers are.
+    ``docs`` must give the same rows in the same order if a task is run again, as
+    tables do; if not, the answers do not match and the job fails.
     """
     spark = docs.sparkSession
-    sc = spark.sparkContext
-    buckets = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text).cast("binary").alias("text"))
-    schema = "kind int, bucket int, distinct long, total long, hashes binary, counts binary, keys long"
-    learnt = stash(_gather(rows.where("learn").select("text"), buckets).groupBy("kind", "bucket").applyInPandas(_merged, schema), "lm-counts")
-    known = learnt.where("kind = 0")
-    n, v = (int(x or 0) for x in known.agg(F.sum("total"), F.sum("distinct")).first())
-    least = _least_count(known, head_tokens)
-
-    def only_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(c, np.uint64)
-                keep = (counts >= least) | (np.frombuffer(h, np.uint64) == END)
-                yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(h, np.uint64)[keep].tobytes()]), pa.array([counts[keep].tobytes()])], names=["hashes", "counts"])
-
-    head_rows = known.select("hashes", "counts").mapInArrow(only_head, "hashes binary, counts binary").collect()
-    head_hashes = np.frombuffer(b"".join(r.hashes for r in head_rows), np.uint64)
-    head_counts = np.frombuffer(b"".join(r.counts for r in head_rows), np.uint64).astype(np.int64)
-    head = sc.broadcast(Head(head_hashes, head_counts))
-    del head_rows
-
-    sizes = learnt.where("kind = 1").select("bucket", F.octet_length("hashes").alias("bytes")).orderBy("bucket").collect()
-    parts: list[list[int]] = [[]]
-    held = 0
-    for b, size in sizes:
-        if held + size > filter_bytes and parts[-1]:
-            parts.append([])
-            held = 0
-        parts[-1].append(b)
-        held += size
-    scored = None
-    for number, part in enumerate(parts):
-        segments = {r.bucket: bytes(r.hashes) for r in learnt.where((F.col("kind") == 1) & F.col("bucket").between(part[0], part[-1])).select("bucket", "hashes").collect()} if part else {}
-        model = sc.broadcast(Filter(segments, buckets))
-        del segments
-        # a job of its own for each part: rows are numbered by partition, which all parts read alike
-        one = stash(rows.mapInArrow(_scorer(head, model, buckets, n, v, smoothing, number == 0), _SCORED), "lm-scores")
-        scored = one if scored is None else scored.unionByName(one)
-    return _summed(scored, known, buckets, n, v, smoothing)
-
-
-_SCORED = "row long, doc_id long, learn boolean, n_tokens long, n_known long, base double, score double, step int, bucket int, pending binary"
-
-
-def _least_count(known: DataFrame, head_tokens: int) -> int:
-    """The smallest count that at most head_tokens distinct tokens have or exceed."""
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in batch.column(0).to_pylist():
-                counts = np.frombuffer(c, np.uint64).astype(np.int64)
-                # ten significant bits: exact below 1024, classes of a thousandth above
-                cut = np.maximum(0, np.frexp(counts.astype(np.float64))[1] - 10)
-                value, n = np.unique(counts >> cut << cut, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n.astype(np.int64))], names=["count", "n"])
-
-    classes = known.select("counts").mapInArrow(histogram, "count long, n long").groupBy("count").agg(F.sum("n").alias("n")).orderBy(F.desc("count")).collect()
-    total, least = 0, 1 << 62
-    for value, n in classes:
-        total += n
-        if total > head_tokens:
-            return least
-        least = value
-    return 1
-
-
-#: A pair with a rare token: hashes of the second and the first token, or their counts once known (bits 1 and 2 of ``counts``).
-_PENDING = np.dtype([("second", "u8"), ("first", "u8"), ("row", "i8"), ("level", "u1"), ("counts", "u1")])
-
-
-def _log_probability(levels: np.ndarray, context: np.ndarray, count: np.ndarray, n: int, v: int, smoothing: float) -> np.ndarray:
-    """Of tokens that occur ``count`` times after tokens that occur ``context`` times."""
-    context = np.maximum(1.0, context)
-    trust = context / (context + smoothing) if n else np.zeros(len(context))
-    return np.log10(trust * np.minimum(COUNT_OF_LEVEL[levels], context) / context + (1 - trust) * (count + 1.0) / (n + v + 1))
-
-
-def _scorer(head, model, buckets: int, n: int, v: int, smoothing: float, first: bool):
-    """Rows of documents (base and model scores by what is broadcast) and the part's pairs with rare tokens, packed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
-        norm = np.log10(n + v + 1)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                streams = [tokens(x) for x in part.column(2).to_pylist()]
-                size = np.array([len(s) for s in streams])
-                begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-                stream = np.concatenate(streams)
-                before = np.append(END, stream[:-1])
-                owner = np.repeat(np.arange(len(size)), size)
-                count = head.value.count(stream)
-                context = np.append(head.value.count(np.array([END])), count[:-1])
-                # without anything to learn from, all counts are known to be 0
-                rare, rare_context = (count == 0) & (n > 0), (context == 0) & (n > 0)
-                pair = pairs(stream)
-                own = model.value.owns(pair) if len(model.value.data) else np.full(len(stream), first)
-                levels = np.zeros(len(stream), np.int64)
-                if len(model.value.data):
-                    levels[own] = model.value.levels(pair[own])
-                ready, late = own & ~(rare | rare_context), own & (rare | rare_context)
-                value = np.zeros(len(stream))
-                value[ready] = _log_probability(levels[ready], context[ready], count[ready], n, v, smoothing)
-                exact = np.where(rare, 0.0, np.log10(count + 1.0)) - norm
-                add = lambda x: np.add.reduceat(x, begin)  # noqa: E731, B023
-                ids = np.arange(row, row + len(size))
-                row += len(size)
-                rows = {
-                    "row": ids,
-                    "doc_id": part.column(0),
-                    "learn": part.column(1),
-                    "n_tokens": size if first else 0 * size,
-                    "n_known": add((count > 0).astype(np.int64)) if first else 0 * size,
-                    "base": add(exact) if first else 0.0 * size,
-                    "score": add(value),
-                    "step": pa.nulls(len(size), pa.int32()),
-                    "bucket": pa.nulls(len(size), pa.int32()),
-                    "pending": pa.nulls(len(size), pa.binary()),
-                }
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in rows.values()], names=list(rows))
-                if late.any():
-                    waiting = np.zeros(int(late.sum()), _PENDING)
-                    waiting["second"] = np.where(rare, stream, count.astype(np.uint64))[late]
-                    waiting["first"] = np.where(rare_context, before, context.astype(np.uint64))[late]
-                    waiting["row"], waiting["level"] = ids[owner[late]], levels[late]
-                    waiting["counts"] = (~rare[late]) + 2 * (~rare_context[late])
-                    by_second = waiting["counts"] & 1 == 0
-                    yield _waiting(waiting[by_second], "second", 1, buckets)
-                    yield _waiting(waiting[~by_second], "first", 2, buckets)
-
-    return run
-
-
-def _dealt(records: np.ndarray, field: str, buckets: int) -> tuple[list[int], list[bytes]]:
-    """Buckets of the hashes in a field, and the records of each."""
-    bucket = _bucket(records[field], buckets).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    records, bucket = records[order], bucket[order]
-    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.array([], np.int64)
-    return bucket[at].tolist(), [records[i:j].tobytes() for i, j in zip(at, [*at[1:], len(bucket)], strict=True)] if len(bucket) else []
-
-
-def _waiting(records: np.ndarray, field: str, step: int, buckets: int) -> pa.RecordBatch:
-    bucket, packed = _dealt(records, field, buckets)
-    k = len(bucket)
-    return pa.RecordBatch.from_arrays(
-        [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array([step] * k, pa.int32()),
-         pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())],
-        names=["row", "doc_id", "learn", "n_tokens", "n_known", "base", "score", "step", "bucket", "pending"],
-    )
-
-
-_RESOLVED = "row long, n_known long, base double, score double, bucket int, pending binary"
-
-
-def _resolver(field: str, buckets: int, n: int, v: int, smoothing: float):
-    """Finds the counts of a field's tokens: sums per row (bucket -1), and what waits for the first token's count (row -1)."""
-
-    def resolve(counts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        r = np.frombuffer(b"".join(asked["pending"]), _PENDING).copy()
-        h = r[field]
-        found = np.zeros(len(h), np.int64)
-        if len(counts) and len(k := np.frombuffer(counts["hashes"].iloc[0], np.uint64)):
-            at = np.minimum(np.searchsorted(k, h), len(k) - 1)
-            found = np.where(k[at] == h, np.frombuffer(counts["counts"].iloc[0], np.uint64)[at].astype(np.int64), 0)
-        second = field == "second"
-        r[field] = found
-        r["counts"] |= 1 if second else 2
-        done = r["counts"] == 3
-        value = np.zeros(len(r))
-        value[done] = _log_probability(r["level"][done].astype(np.int64), r["first"][done].astype(np.float64), r["second"][done].astype(np.float64), n, v, smoothing)
-        rows, inverse = np.unique(r["row"], return_inverse=True)
-        sums = {"row": rows, "n_known": np.bincount(inverse, second & (found > 0), len(rows)).astype(np.int64), "base": np.bincount(inverse, np.log10(found + 1.0) * second, len(rows)), "score": np.bincount(inverse, value, len(rows)), "bucket": np.full(len(rows), -1), "pending": [b""] * len(rows)}
-        bucket, packed = _dealt(r[~done], "first", buckets)
-        rest = {"row": np.full(len(bucket), -1), "n_known": np.zeros(len(bucket), np.int64), "base": np.zeros(len(bucket)), "score": np.zeros(len(bucket)), "bucket": np.array(bucket, np.int64), "pending": packed}
-        return pd.concat([pd.DataFrame(sums), pd.DataFrame(rest)]) if bucket else pd.DataFrame(sums)
-
-    return resolve
-
-
-def _summed(scored: DataFrame, known: DataFrame, buckets: int, n: int, v: int, smoothing: float) -> DataFrame:
-    def resolved(field: str, waiting: DataFrame) -> DataFrame:
-        return known.select("bucket", "hashes", "counts").groupBy("bucket").cogroup(waiting.groupBy("bucket")).applyInPandas(_resolver(field, buckets, n, v, smoothing), _RESOLVED)
-
-    waiting = lambda step: scored.where(F.col("step") == step).select("bucket", "pending")
-    seconds = stash(resolved("second", waiting(1)), "lm-rare")
-    firsts = resolved("first", waiting(2).unionByName(seconds.where("row < 0").select("bucket", "pending")))
-    rare = seconds.where("row >= 0").unionByName(firsts)
-    main = scored.where("row is not null").select("row", "doc_id", "learn", "n_tokens", "n_known", "base", "score")
-    rest = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("learn"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "base", "score")
-    return (
-        main.unionByName(rest)
-        .groupBy("row")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("learn").alias("learn"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-        .select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = buckets or max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+    with Scratch(spark) as scratch:
+        folder = scratch.folder("lm-blocks")
+        asked = rows.mapInArrow(_asker(folder, buckets, block_tokens), _ASKED)
+        answered = scratch.stash(dealt(asked, 2 * buckets, "kind", "bucket").groupBy("kind", "bucket").applyInPandas(_answerer(bits_per_key), _ANSWERED), "lm-answers")
+        n, v = (int(x or 0) for x in answered.where(F.col("kind") == TOKENS).agg(F.sum("total"), F.sum("distinct")).first())
+        blocks = dealt(answered.select("kind", "bucket", "block", "answer"), size // (4 * block_tokens), "block")
+        scored = blocks.groupBy("block").applyInPandas(_scorer(folder, n, v, smoothing), _SCORED)
+        return stash(scored, "lm-scores")

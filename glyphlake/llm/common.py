@@ -40,6 +40,45 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Spark's own file systems; one that is not there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables and folders that only the steps before a result need: gone when the block ends.
+
+    What leaves the block must have been written elsewhere, as by ``stash``.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+    def folder(self, name: str) -> str:
+        self.paths.append(f"{work_dir(self.spark)}/{name}-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
+    def stash(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``stash``, until the block ends."""
+        path = self.folder(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """df dealt by keys to the session's number of tasks, or to ``tasks`` where the data ask for more."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys) if tasks > usual else df.repartition(*keys)
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of non-space characters; 0 for null and blank texts."""
     runs = F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{SPACE}]+", "x")
