@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -15,40 +16,59 @@ from pyspark.sql import functions as F
 
 
 def brute_topk(vectors, queries_, k):
-    usable = {}
+    """Every row but one of the query's own id and vector; ties to the smaller id, a null one last."""
+    usable = []
     for i, v in vectors:
-        if i is None or not v or any(x is None or not np.isfinite(np.float32(x)) for x in v):
+        if not v or any(x is None or not np.isfinite(np.float32(x)) for x in v):
             continue
-        usable[i] = [int(np.floor(1024 * float(np.float32(x)))) for x in v]
-    out = set()
-    for q in queries_:
-        if q not in usable:
-            continue
-        scored = sorted(((-sum(a * b for a, b in zip(usable[q], v, strict=True)), i) for i, v in usable.items() if i != q and len(v) == len(usable[q])))[:k]
-        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
+        usable.append((i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)))
+    out = Counter()
+    for i, q in {x for x in usable if x[0] in queries_}:
+        others = list(usable)
+        others.remove((i, q))
+        scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j is None, j or 0) for j, v in others if len(v) == len(q))[:k]
+        out.update((i, r + 1, None if none else j, -s) for r, (s, none, j) in enumerate(scored))
     return out
 
 
-@pytest.mark.parametrize("kind", ["spread", "clustered", "copies"])
-def test_topk_against_brute_force(spark, kind):
+def vectors_of(kind, n=300):
     rng = np.random.default_rng(1)
     if kind == "spread":
-        data = rng.normal(size=(300, 8))
-    elif kind == "clustered":
-        data = rng.normal(size=(6, 8))[rng.integers(0, 6, 300)] * 3 + rng.normal(size=(300, 8)) * 0.05
-    else:
-        data = np.where(rng.random(300)[:, None] < 0.5, np.ones(8), rng.normal(size=(300, 8)))
-    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
-    vectors += [(1000, None), (1010, []), (1020, [1.0] * 7 + [None]), (1030, [float("nan")] * 8), (1040, [float("inf")] * 8), (None, [1.0] * 8), (1050, [1.0, 2.0])]
+        return rng.normal(size=(n, 8))
+    if kind == "clustered":
+        return rng.normal(size=(6, 8))[rng.integers(0, 6, n)] * 3 + rng.normal(size=(n, 8)) * 0.05
+    return np.where(rng.random(n)[:, None] < 0.5, np.ones(8), rng.normal(size=(n, 8)))
+
+
+@pytest.mark.parametrize("kind", ["spread", "clustered", "copies"])
+def test_topk_against_brute_force(spark, kind):
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(vectors_of(kind))]
+    vectors += [(1000, None), (1010, []), (1020, [1.0] * 7 + [None]), (1030, [float("nan")] * 8), (1040, [float("inf")] * 8), (None, [1.0] * 8), (None, [1.0] * 8), (None, [0.5] * 8), (1050, [1.0, 2.0]), (1051, [3.0, 2.0])]
+    vectors += [(20, [1.0] * 8), (20, [1.0] * 8), (21, [1.0] * 8), (30, vectors[30][1]), *[(25, [0.9] * 8)] * 14]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in vectors], "vec_id long, embedding array<float>, cell string, score int")
-    got = {tuple(r) for r in voronoi_topk.topk(df, df.where("vec_id % 10 = 0"), 5, cell_queries=6, block_rows=40).select("query_id", "rank", "vec_id", "score").collect()}
-    assert got == brute_topk(vectors, range(0, 2000, 10), 5)
+    got = voronoi_topk.topk(df, df.where("vec_id % 10 = 0"), 5, cell_rows=30, block_rows=10).select("query_id", "rank", "vec_id", "score").collect()
+    assert Counter(map(tuple, got)) == brute_topk(vectors, range(0, 2000, 10), 5)
+
+
+def test_topk_prunes(spark):
+    """In clusters, queries reach few of the blocks; copies of one vector are one row."""
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors_of("clustered", 3000))], "vec_id long, embedding array<float>")
+    stats = {}
+    got = voronoi_topk.topk(df, df.where("vec_id % 10 = 0"), 5, cell_rows=100, block_rows=100, stats=stats).count()
+    assert got == 300 * 5 and stats["queries"] == 300
+    assert stats["first"] + stats["second"] < 0.3 * stats["queries"] * stats["blocks"]
+
+
+def test_topk_keeps_every_other_row(spark):
+    df = spark.createDataFrame([(100, [1.0]), (7, [1.0]), (7, [1.0]), (None, [1.0])], "vec_id long, embedding array<float>")
+    assert sorted((r.rank, r.vec_id) for r in voronoi_topk.topk(df, df.where("vec_id = 100")).collect()) == [(1, 7), (2, 7), (3, None)]
 
 
-def test_topk_prunes_and_handles_few(spark):
+def test_topk_of_few(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in (0, 10, 11)], "vec_id long, embedding array<float>")
     assert voronoi_topk.topk(df, df.where("vec_id % 10 = 0"), 5).count() == 4
     assert voronoi_topk.topk(df.limit(0), df.limit(0)).count() == 0
+    assert voronoi_topk.topk(df, df.limit(0)).count() == 0
     one = df.where("vec_id = 0")
     assert voronoi_topk.topk(one, one).count() == 0
 
