@@ -46,6 +46,21 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder within one file system; one that is not there is no error."""
+    at, to = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        fs.mkdirs(to.getParent())
+        if not fs.rename(at, to):
+            raise OSError(f"{source} can't be moved to {target}")
+
+
 class Scratch:
     """Tables and folders that only the steps before a result need: gone when the block ends.
 

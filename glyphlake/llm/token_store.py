@@ -7,10 +7,16 @@ of its chunks' digests; Merkle roots over chunks and recipes verify what is read
 Format, in one folder:
 ``parts/``    Parquet by kind; ``kind=chunk``: ``key`` (BLAKE2b digest, 16 bytes)
               and ``data`` (ids, little-endian unsigned integers of 2 bytes, 4 if
-              the vocabulary needs them); ``kind=recipe``: recipes as encoded
-``recipes/``  Parquet in ascending doc_id order: ``doc_id, start, n_tokens, digests``
+              the vocabulary needs them)
+``recipes/``  Parquet in ascending doc_id order, over the files by name and within
+              each: ``doc_id, start, n_tokens, digests``
 ``manifest/`` JSON: format version, bytes of an id, tokenizer digest, end id,
-              counts, the Merkle roots of chunks and recipes
+              documents, chunks, the Merkle roots of chunks and recipes
+
+A Merkle tree has 4096 leaves: a leaf is the number of entries whose digest falls
+in its bucket and the sum, modulo 2**256, of their BLAKE2b digests; inner nodes
+hash their children. An entry is a chunk's digest, or a document with its id,
+start, length and recipe. Readers compute both roots again and compare.
 """
 
 from __future__ import annotations
@@ -23,14 +29,19 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import stash, work_dir
+from glyphlake.llm.common import Scratch, exists, move, work_dir
 
 END_ID = 2
+#: Digests that a task remembers of the chunks it has sent; older ones may be sent again.
+REMEMBERED = 1 << 19
+#: Leaves of a Merkle tree.
+LEAVES = 4096
 #: Ids that the rolling hash sees, the bits it must have zero at a boundary, and the bounds of a chunk.
 ROLL = 16
 CUT_BITS = 9
@@ -201,6 +212,22 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+class Recent:
+    """The digests seen last, at most twice REMEMBERED."""
+
+    def __init__(self, most: int = REMEMBERED) -> None:
+        self.most, self.new, self.old = most, set(), set()
+
+    def add(self, digest: bytes) -> bool:
+        """Remember; whether it was not known."""
+        if digest in self.new or digest in self.old:
+            return False
+        if len(self.new) >= self.most:
+            self.new, self.old = set(), self.new
+        self.new.add(digest)
+        return True
+
+
 def _merkle(leaves: list[bytes]) -> bytes:
     level = leaves or [_digest(b"")]
     while len(level) > 1:
@@ -228,7 +255,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, *
     schema = "kind string, key binary, data binary, doc_id long, n_tokens long"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = _encoder(tokenizer_path, width), set()
+        encoder, seen = _encoder(tokenizer_path, width), Recent()
         for batch in batches:
             for a in range(0, batch.num_rows, 400):
                 part = batch.slice(a, 400)
@@ -240,76 +267,120 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, *
                         chunk = data[begin * width : stop * width]
                         begin = stop
                         recipe.append(digest := _digest(chunk))
-                        if digest not in seen:
-                            seen.add(digest)
+                        if seen.add(digest):
                             rows.append(("chunk", digest, chunk, None, None))
                     joined = b"".join(recipe)
                     rows.append(("recipe", _digest(joined), joined, i, begin))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["kind", "key", "data", "doc_id", "n_tokens"])
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            keep = []
-            for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keep.append(kind == "recipe" or key not in seen)
-                if kind == "chunk":
-                    seen.add(key)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
     encoded = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text")).mapInArrow(encode, schema)
-    # recipes of one text have one digest: they are dealt by document, only chunks by digest
-    salt = F.when(F.col("kind") == "recipe", F.col("doc_id"))
-    encoded.repartition(F.col("key"), salt).mapInArrow(once, schema).write.partitionBy("kind").parquet(f"{path}/parts")
-    parts = spark.read.schema(schema).parquet(f"{path}/parts")
-    recipes = _with_starts(parts.where("kind = 'recipe'").select("doc_id", "n_tokens", "key", F.col("data").alias("digests")))
-    recipes.write.parquet(f"{path}/recipes")
-    root = {
-        "version": VERSION,
-        "id_bytes": width,
-        "end_id": end_id,
-        "tokenizer": _file_digest(tokenizer_path),
-        "chunk_root": _root(chunks(spark, path).select("digest")),
-        "recipe_root": _root(spark.read.parquet(f"{path}/recipes").select(F.col("digests").alias("digest"))),
-    }
+    with Scratch(spark) as scratch:
+        # recipes of one text have one digest: they are dealt by document, only chunks by digest
+        salt = F.when(F.col("kind") == "recipe", F.col("doc_id"))
+        sorted_ = encoded.repartition(F.col("key"), salt).sortWithinPartitions("kind", "key")
+        scratch.paths.append(parts := f"{path}/_encoded")
+        sorted_.mapInArrow(_first_of_equal, schema).write.partitionBy("kind").parquet(parts)
+        # the chunks stay where they are written: their folder becomes the store's
+        move(spark, f"{parts}/kind=chunk", f"{path}/parts/kind=chunk")
+        recipes = spark.read.schema("key binary, data binary, doc_id long, n_tokens long").parquet(f"{parts}/kind=recipe") if exists(spark, f"{parts}/kind=recipe") else spark.createDataFrame([], "key binary, data binary, doc_id long, n_tokens long")
+        _write_recipes(scratch, recipes.select("doc_id", "n_tokens", "key", F.col("data").alias("digests")), f"{path}/recipes")
+    stored, kept = chunks(spark, path), _recipes(spark, path)
+    documents, recipe_root = _root(kept, _RECIPE)
+    pieces, chunk_root = _root(stored, ("digest",))
+    root = {"version": VERSION, "id_bytes": width, "end_id": end_id, "tokenizer": _file_digest(tokenizer_path), "documents": documents, "chunks": pieces, "chunk_root": chunk_root, "recipe_root": recipe_root}
     spark.createDataFrame([(json.dumps(root),)], "value string").coalesce(1).write.text(f"{path}/manifest")
     return path
 
 
+def _first_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by kind and key: all recipes, and of chunks of one key the first."""
+    last = None
+    for batch in batches:
+        keep = []
+        for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keep.append(kind == "recipe" or key != last)
+            last = key if kind == "chunk" else None
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _file_digest(path: str) -> str:
     with open(path, "rb") as f:
         return hashlib.blake2b(f.read(), digest_size=16).hexdigest()
 
 
+_CHUNK = "key binary, data binary"
+_RECIPE = ("doc_id", "start", "n_tokens", "digests")
+
+
 def chunks(spark: SparkSession, path: str) -> DataFrame:
     """``digest, ids`` of the chunks of a store."""
-    return spark.read.schema("kind string, key binary, data binary").parquet(f"{path}/parts").where("kind = 'chunk'").select(F.col("key").alias("digest"), F.col("data").alias("ids"))
+    folder = f"{path}/parts/kind=chunk"
+    found = spark.read.schema(_CHUNK).parquet(folder) if exists(spark, folder) else spark.createDataFrame([], _CHUNK)
+    return found.select(F.col("key").alias("digest"), F.col("data").alias("ids"))
 
 
-def _root(digests: DataFrame, leaves: int = 256) -> str:
-    """Merkle root over buckets of the digests.
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id long, start long, n_tokens long, digests binary").parquet(f"{path}/recipes")
 
-    A leaf adds up the hashes of its digests, so it needs no sort and no bucket
-    meets in one place: only ``leaves`` rows reach the driver.
-    """
-    bucket = F.pmod(F.xxhash64("digest"), F.lit(leaves))
-    halves = [F.sum(F.xxhash64("digest", F.lit(k)).cast("decimal(38,0)")).cast("string").alias(f"h{k}") for k in (1, 2)]
-    rows = digests.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), *halves).orderBy("b").collect()
-    return _merkle([_digest(f"{r.b}:{r.n}:{r.h1}:{r.h2}".encode()) for r in rows]).hex()
 
+def _leaves(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``leaf, n, sum``: the leaves that entries of these columns fall in, added up by task before they are sent."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[int]] = {}
+        for batch in batches:
+            for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = hashlib.blake2b(digest_size=32)
+                for x in entry:
+                    x = x if isinstance(x, bytes) else b"" if x is None else x.to_bytes(8, "big", signed=True)
+                    h.update(len(x).to_bytes(8, "big") + x)
+                value = int.from_bytes(h.digest(), "big")
+                leaf = held.setdefault(value % LEAVES, [0, 0])
+                leaf[0] += 1
+                leaf[1] = (leaf[1] + value) % (1 << 256)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([x.to_bytes(32, "big") for _, x in held.values()], pa.binary())], names=["leaf", "n", "sum"])
 
-def _with_starts(recipes: DataFrame) -> DataFrame:
+    return rows.select(*columns).mapInArrow(add, "leaf int, n long, sum binary")
+
+
+def _sum_leaf(group: pd.DataFrame) -> pd.DataFrame:
+    total = sum(int.from_bytes(x, "big") for x in group["sum"]) % (1 << 256)
+    return pd.DataFrame({"leaf": [int(group["leaf"].iloc[0])], "n": [int(group["n"].sum())], "sum": [total.to_bytes(32, "big")]})
+
+
+def _top(leaves: DataFrame) -> tuple[int, str]:
+    """Entries and Merkle root from at most LEAVES rows, of which there is one a leaf."""
+    rows = leaves.groupBy("leaf").applyInPandas(_sum_leaf, "leaf int, n long, sum binary").orderBy("leaf").collect()
+    return sum(r.n for r in rows), _merkle([_digest(r.leaf.to_bytes(4, "big") + r.n.to_bytes(8, "big") + bytes(r.sum)) for r in rows]).hex()
+
+
+def _root(rows: DataFrame, columns: tuple[str, ...]) -> tuple[int, str]:
+    return _top(_leaves(rows, columns))
+
+
+def verify(spark: SparkSession, path: str) -> dict:
+    """The manifest, after documents and chunks have been counted and both Merkle roots computed again; else an error."""
+    told = manifest(spark, path)
+    for name, root, found in (("documents", "recipe_root", _root(_recipes(spark, path), _RECIPE)), ("chunks", "chunk_root", _root(chunks(spark, path), ("digest",)))):
+        if found != (told[name], told[root]):
+            raise ValueError(f"the {name} of {path} are not those of its manifest: {found[0]} of {told[name]}")
+    return told
+
+
+def _write_recipes(scratch: Scratch, recipes: DataFrame, path: str) -> None:
     """Recipes in ascending doc_id order with the number of ids before each.
 
-    Sums of ranges of ids come from one row per partition of a range sort, then
-    running sums within each range.
+    A range sort is kept with the range's number; sums of ranges, one row each, then
+    running sums within each range. A second range sort by what the first found puts
+    the ranges in order again, and files are named by their task.
     """
-
-    ordered = stash(recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("key")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key").withColumn("part", F.spark_partition_id()), "recipes")
+    order = (F.col("doc_id").asc_nulls_first(), F.col("key"))
+    ordered = scratch.stash(recipes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "recipes")
     totals = ordered.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
-    before = totals.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("before"))
-    within = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ordered.withColumn("running", F.sum("n_tokens").over(within)).join(before, "part").select("doc_id", (F.col("before") + F.col("running") - F.col("n_tokens")).alias("start"), "n_tokens", "digests")
+    starts = totals.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("before"))
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ordered.join(F.broadcast(starts), "part").withColumn("start", F.col("before") + F.sum("n_tokens").over(within) - F.col("n_tokens"))
+    placed.select("doc_id", "start", "n_tokens", "digests").repartitionByRange("start").sortWithinPartitions("start").write.parquet(path)
 
 
 def manifest(spark: SparkSession, path: str) -> dict:
@@ -368,12 +439,13 @@ def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the stored files alone.
 
-    Each stored chunk is read once, checked against its digest and summed up as
-    (ids, crc32 as 32-bit integers); a recipe's sums are combined in its order, so
-    no chunk is copied to the documents that share it. A recipe whose chunks are
-    missing or whose length differs is an error.
+    Documents and chunks are first held to the manifest (``verify``). Each stored
+    chunk is read once, checked against its digest and summed up as (ids, crc32 as
+    32-bit integers); a recipe's sums are combined in its order, so no chunk is
+    copied to the documents that share it. A recipe whose chunks are missing or
+    whose length differs is an error.
     """
-    width = manifest(spark, path)["id_bytes"]
+    width = verify(spark, path)["id_bytes"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,6 +476,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                 continue
             found = batch.column(4)
             parts, lengths = found.flatten(), np.diff(found.offsets.to_numpy())
+            if parts.field(1).null_count:
+                raise ValueError("a recipe names a chunk that is missing")
             ids, crc = (parts.field(k).to_numpy() for k in (1, 2))
             first = np.append(0, np.cumsum(lengths)[:-1])
             ends = np.cumsum(ids)
@@ -415,9 +489,10 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(whole.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     stored = chunks(spark, path).mapInArrow(sums, "digest binary, ids long, crc long")
-    recipes = spark.read.schema("doc_id long, start long, n_tokens long, digests binary").parquet(f"{path}/recipes")
+    recipes = _recipes(spark, path)
     occurrences = recipes.mapInArrow(split, "row long, doc_id long, start long, n_tokens long, at long, digest binary, parts long")
-    joined = occurrences.join(stored, "digest")
+    # a chunk that is not there leaves nulls, which combine() finds
+    joined = occurrences.join(stored, "digest", "left")
     return (
         joined.groupBy("row")
         .agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.min("n_tokens").alias("n_tokens"), F.min("parts").alias("parts"), F.array_sort(F.collect_list(F.struct("at", "ids", "crc"))).alias("found"))
@@ -427,17 +502,28 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: DataFrame | None = None) -> DataFrame:
-    """``doc_id, start, ids`` (array of int): documents put together from their recipes, all or those of ``doc_ids``."""
-    dtype = "<u2" if manifest(spark, path)["id_bytes"] == 2 else "<u4"
-    recipes = spark.read.schema("doc_id long, start long, n_tokens long, digests binary").parquet(f"{path}/recipes")
+    """``doc_id, start, ids`` (array of int): documents put together from their recipes, all or those of ``doc_ids``.
+
+    Documents and chunks are first held to the manifest (``verify``), and each
+    chunk used to its digest. Missing chunks and wrong lengths are errors.
+    Documents that share an id are told apart by ``start``.
+    """
+    dtype = "<u2" if verify(spark, path)["id_bytes"] == 2 else "<u4"
+    recipes = _recipes(spark, path)
     if doc_ids is not None:
         recipes = recipes.join(doc_ids.select(F.col(doc_ids.columns[0]).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    each = recipes.select("doc_id", "start", "digests", F.explode(F.expr("sequence(0, cast(octet_length(digests) / 16 as int) - 1)")).alias("at")).select("doc_id", "start", "at", F.expr("substring(digests, at * 16 + 1, 16)").alias("digest"))
-    parts = each.join(chunks(spark, path), "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    each = recipes.select("doc_id", "start", "n_tokens", "digests", F.explode(F.expr("sequence(0, cast(octet_length(digests) / 16 as int) - 1)")).alias("at")).select("doc_id", "start", "n_tokens", "at", F.expr("substring(digests, at * 16 + 1, 16)").alias("digest"))
+    parts = each.join(chunks(spark, path), "digest", "left").groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("at", "digest", "ids"))).alias("parts"))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [np.frombuffer(b"".join(x["ids"] for x in p), dtype).astype(np.int32) for p in batch.column(2).to_pylist()]
+            values = []
+            for n, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if any(x["ids"] is None or _digest(x["ids"]) != x["digest"] for x in found):
+                    raise ValueError("a chunk is missing or damaged")
+                values.append(np.frombuffer(b"".join(x["ids"] for x in found), dtype).astype(np.int32))
+                if len(values[-1]) != n:
+                    raise ValueError("a recipe does not match the stored chunks")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
     return parts.mapInArrow(ids, "doc_id long, start long, ids array<int>")
