@@ -129,16 +129,55 @@ def test_store_round_trip(spark, tmp_path):
     assert m["id_bytes"] == 2 and m["chunk_root"] != m["recipe_root"]
 
 
-def test_damaged_chunk_is_found(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
-    path = token_store.write_store(docs, queries.tokenizer_path(), f"{tmp_path}/a")
-    bad = spark.read.parquet(f"{path}/parts").where("kind = 'chunk'").withColumn("data", F.concat("data", F.unhex(F.lit("0000"))))
-    rest = spark.read.parquet(f"{path}/parts").where("kind = 'recipe'")
-    bad.unionByName(rest).write.partitionBy("kind").parquet(f"{tmp_path}/b/parts")
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"{tmp_path}/b/recipes")
-    spark.read.text(f"{path}/manifest").write.text(f"{tmp_path}/b/manifest")
-    with pytest.raises(Exception, match="damaged"):
-        token_store.read_index(spark, f"{tmp_path}/b").collect()
+def rewritten(spark, path, to, chunks=None, recipes=None):
+    """A copy of a store with other chunks or recipes."""
+    part = spark.read.parquet(f"{path}/parts/kind=chunk")
+    (chunks(part) if chunks else part).write.parquet(f"{to}/parts/kind=chunk")
+    kept = spark.read.parquet(f"{path}/recipes")
+    (recipes(kept) if recipes else kept).coalesce(1).sortWithinPartitions("start").write.parquet(f"{to}/recipes")
+    spark.read.text(f"{path}/manifest").write.text(f"{to}/manifest")
+    return to
+
+
+def test_damage_is_found(spark, tmp_path):
+    """A damaged chunk, a lost chunk (a document's only one too), a lost document, recipes that have been swapped."""
+    rows = [(i, " ".join(f"word{i} {k}" for k in range(400 * (i % 2)))) for i in range(6)]
+    path = token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path(), f"{tmp_path}/a")
+    short = spark.read.parquet(f"{path}/recipes").where("doc_id = 0").first().digests
+    swapped = lambda df: df.select(F.when(F.col("doc_id") == 1, 3).when(F.col("doc_id") == 3, 1).otherwise(F.col("doc_id")).cast("long").alias("doc_id"), "start", "n_tokens", "digests")
+    cases = [
+        (rewritten(spark, path, f"{tmp_path}/b", chunks=lambda c: c.withColumn("data", F.concat("data", F.unhex(F.lit("0000"))))), "damaged"),
+        (rewritten(spark, path, f"{tmp_path}/c", chunks=lambda c: c.where(F.col("key") != F.lit(short))), "not those of its manifest"),
+        (rewritten(spark, path, f"{tmp_path}/d", recipes=lambda r: r.where("doc_id <> 4")), "not those of its manifest"),
+        (rewritten(spark, path, f"{tmp_path}/e", recipes=swapped), "not those of its manifest"),
+    ]
+    for at, error in cases:
+        for read in (token_store.read_index, token_store.read_documents):
+            with pytest.raises(Exception, match=error):
+                read(spark, at).collect()
+    assert token_store.read_index(spark, rewritten(spark, path, f"{tmp_path}/f")).count() == 6
+
+
+def test_recipes_are_in_order_on_disk(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = spark.createDataFrame([((i * 7919) % 1000, f"text {i}") for i in range(1000)] + [(None, "x")], "doc_id long, text string").repartition(8)
+        path = token_store.write_store(docs, queries.tokenizer_path(), f"{tmp_path}/store")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    files = sorted((tmp_path / "store/recipes").glob("*.parquet"))
+    rows = [r for f in files for r in pq.read_table(f).to_pylist()]
+    assert len(files) > 1 and [r["doc_id"] for r in rows] == [None, *range(1000)]
+    assert [r["start"] for r in rows] == np.cumsum([0, *[r["n_tokens"] for r in rows]])[:-1].tolist()
+
+
+def test_digests_seen_long_ago_are_forgotten():
+    seen = token_store.Recent(2)
+    assert [seen.add(x) for x in b"aabcab"] == [True, False, True, True, False, False]
+    assert [seen.add(x) for x in b"dea"] == [True, True, True]
 
 
 def test_store_of_nothing(spark, tmp_path):
@@ -168,9 +207,21 @@ def test_archives_round_trip(spark, tmp_path):
         body = (h or "").encode()
         want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if response else "revisit", None if response else b, body if response else b""))
     assert sorted(map(repr, [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.body)) for r in got])) == sorted(map(repr, want))
+    ids = Counter(r.record_id for r in got)
+    assert max(ids.values()) == 1
+    responses = {r.record_id: (r.page_id, r.payload_digest) for r in got if r.record_type == "response"}
+    assert all(responses[r.refers_to_record] == (r.refers_to, r.payload_digest) for r in got if r.record_type == "revisit")
     assert warc.write_archives(pages.limit(0), f"{tmp_path}/none").count() == 0
 
 
+def test_dictionary_of_a_hot_page(spark):
+    """Rows of one page and address are one record of the sample."""
+    hot = spark.range(3000).select(F.lit(1).cast("long").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<p>"), F.col("id").cast("string")).alias("html"))
+    rest = spark.range(50).select((F.col("id") + 10).alias("page_id"), F.concat(F.lit("http://"), F.col("id").cast("string")).alias("url"), F.concat(F.lit("<html>some text "), F.md5(F.col("id").cast("string")), F.lit(" and more</html>")).alias("html"))
+    assert warc.build_dictionary(hot, "page_id", "url", "html") == b""
+    assert len(warc.build_dictionary(hot.unionByName(rest), "page_id", "url", "html")) > 0
+
+
 def test_small_payloads_are_responses(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "b" * 50), (4, "u", "b" * 50)], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in warc.read_archives(warc.write_archives(pages, f"{tmp_path}/w", min_revisit_bytes=10)).collect()}
@@ -182,7 +233,7 @@ def test_archive_is_a_dictionary_frame_and_single_records():
 
     import zstandard
 
-    records = [warc.record(i, f"http://a/{i}", b"<p>body %d</p>" % i, None, False) for i in range(200)]
+    records = [warc.record(i, f"http://a/{i}", b"<p>body %d</p>" % i) for i in range(200)]
     dictionary = zstandard.train_dictionary(4096, records).as_bytes()
     c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
     data = warc.dictionary_frame(dictionary) + b"".join(c.compress(r) for r in records)
