@@ -5,12 +5,12 @@ presence kernel |A & B| / sqrt(|A| |B|). Kernel ridge regression, one language
 against the rest, is solved over Nystroem landmarks. As the kernel is a scalar product of
 presence vectors, the landmarks and their coefficients fold into one matrix of
 n-grams by languages, and texts are scored by products of their presence
-vectors with it, in batches.
+vectors with it, in batches. n-grams are hashed to 65,536 places, so the kernel
+is that of the places: n-grams that share one count as equal.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,16 +22,14 @@ from pyspark.sql import functions as F
 #: n of the blended spectrum, in bytes of the cleaned text; n-grams are hashed to SLOTS places.
 ORDERS = (1, 2, 3, 4)
 SLOTS = 1 << 16
-#: The sample that is learnt from: so many documents of each language, of up to MAX_LANGS
-#: languages (those of most documents), and the landmarks among them.
+#: The sample that is learnt from: so many documents of each language, fewer if they
+#: would be more than MAX_SAMPLE in all, one at least; and the landmarks among them.
 PER_LANG = 200
-MAX_LANGS = 400
 MAX_SAMPLE = 4000
 LANDMARKS = 400
 RIDGE = 1e-3
 UNDEFINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes that are no letters become blanks; bytes of other characters stay.
 _BLANKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _MULTIPLIERS = np.random.default_rng(1202).integers(1 << 30, 1 << 31, 8, dtype=np.uint32) | np.uint32(1)
@@ -39,7 +37,7 @@ _MULTIPLIERS = np.random.default_rng(1202).integers(1 << 30, 1 << 31, 8, dtype=n
 
 def ngrams(text: str | None) -> np.ndarray | None:
     """Places of the n-grams of a text, each once; None without letters."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return None
     clean = b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_BLANKS).split()) + b" "
     x = np.frombuffer(clean, np.uint8).astype(np.uint32)
@@ -82,54 +80,63 @@ class Model:
         return langs, scores
 
 
-def fit(features: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression over landmarks, taken from the languages in turn."""
+def packed(places: np.ndarray) -> bytes:
+    """Places as a bitmap of SLOTS bits."""
+    there = np.zeros(SLOTS, bool)
+    there[places] = True
+    return np.packbits(there).tobytes()
+
+
+def fit(bitmaps: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Kernel ridge regression over landmarks, taken from the languages in turn, one of each language at least."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((SLOTS, 0), np.float32))
-    packed = np.zeros((len(features), SLOTS // 64), np.uint64)
-    for row, f in zip(packed, features, strict=True):
-        there = np.zeros(SLOTS, bool)
-        there[f] = True
-        row[:] = np.packbits(there).view(np.uint64)
-    size = np.sqrt([len(f) for f in features])
-    turn = np.argsort([sum(y == x for y in langs[:i]) for i, x in enumerate(langs)], kind="stable")[:landmarks]
-    kernel = np.stack([np.bitwise_count(packed & packed[j]).sum(1, dtype=np.int64) / (size * size[j]) for j in turn], axis=1)
+    bits = np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1)
+    size = np.sqrt(np.bitwise_count(bits).sum(1, dtype=np.int64))
+    seen: dict[str, int] = {}
+    turns = [seen.update({x: seen.get(x, 0) + 1}) or seen[x] for x in langs]
+    turn = np.argsort(turns, kind="stable")[: max(landmarks, len(names))]
+    kernel = np.stack([np.bitwise_count(bits & bits[j]).sum(1, dtype=np.int64) / (size * size[j]) for j in turn], axis=1)
     wanted = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # both classes of each language weigh the same, however many languages there are
     weigh = np.stack([np.where(w > 0, 0.5 / max(1, (w > 0).sum()), 0.5 / max(1, (w < 0).sum())) for w in wanted.T], axis=1)
-    matrix = np.zeros((SLOTS, len(names)))
+    coefficients = np.empty((len(turn), len(names)))
     for c in range(len(names)):
         weighted = kernel * weigh[:, c : c + 1]
         left = weighted.T @ kernel + ridge * kernel[turn] + 1e-9 * np.eye(len(turn))
-        coefficients = np.linalg.solve(left, weighted.T @ wanted[:, c])
-        for j, a in zip(turn, coefficients, strict=True):
-            matrix[features[j], c] += a / size[j]
-    return Model(names, matrix.astype(np.float32))
+        coefficients[:, c] = np.linalg.solve(left, weighted.T @ wanted[:, c])
+    matrix = np.zeros((SLOTS, len(names)), np.float32)
+    for j, a in zip(turn, coefficients, strict=True):
+        matrix[np.flatnonzero(np.unpackbits(bits[j].view(np.uint8)))] += a / size[j]
+    return Model(names, matrix)
 
 
-def train(docs: DataFrame, learnable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def train(docs: DataFrame, learnable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_sample: int = MAX_SAMPLE) -> Model:
     """A model from a bounded sample of the rows where ``learnable`` holds and lang is not null.
 
-    Per language, the PER_LANG ids of the smallest hashes (fewer, if there are
-    many languages, so that the sample holds MAX_SAMPLE documents at most). Only
-    the features of the sample reach the driver, 128 KB a document at most.
+    All languages are learnt. Of each, the sample holds the PER_LANG texts of the
+    smallest hashes of id and text, fewer if all would be more than ``max_sample``,
+    but one at least; rows alike in id, text and language are one. Only bitmaps of
+    the sample reach the driver, 8 KB a text. Texts without letters teach nothing.
     """
-    labelled = docs.where(learnable & F.col(lang).isNotNull() & (F.length(F.col(text)) > 0)).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"))
-    common = [r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    each = max(1, min(PER_LANG, MAX_SAMPLE // max(1, len(common))))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.where(F.col("lang").isin(common)).withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id", "lang")
-    rows = docs.where(learnable).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi")
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    labelled = docs.where(learnable & F.col(lang).isNotNull() & (F.length(F.col(text)) > 0)).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
+    with_letters = labelled.where(F.col("text").rlike("\\p{L}"))
+    hashes = with_letters.select("lang", "h").distinct()
+    n = hashes.select("lang").distinct().count()
+    each = max(1, min(PER_LANG, max_sample // max(1, n)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = hashes.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "h")
+    rows = with_letters.join(F.broadcast(chosen), ["lang", "h"], "left_semi")
+
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [ngrams(x) for x in batch.column(2).to_pylist()]
             keep = pa.array([f is not None for f in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array([f.tobytes() for f in found if f is not None], pa.binary())], names=["doc_id", "lang", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array([packed(f) for f in found if f is not None], pa.binary())], names=["lang", "h", "bitmap"])
 
-    sample = sorted(((r.doc_id, r.lang, bytes(r.features)) for r in rows.mapInArrow(features, "doc_id long, lang string, features binary").limit(2 * MAX_SAMPLE).collect()), key=lambda r: (r[0] is None, r))
-    return fit([np.frombuffer(f, np.uint16) for _, _, f in sample], [x for _, x, _ in sample])
+    sample = sorted((r.h, r.lang, bytes(r.bitmap)) for r in rows.mapInArrow(bitmaps, "lang string, h long, bitmap binary").groupBy("lang", "h").agg(F.min("bitmap").alias("bitmap")).collect())
+    return fit([x for _, _, x in sample], [x for _, x, _ in sample])
 
 
 def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,8 +145,9 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     ``und`` with score 0 where the text is null, empty or without letters, or
     where nothing could be learnt. ``score`` is the regression of the language
     predicted, brought from -1 .. 1 to 0 .. 1. Ties go to the language first in
-    order. Whole texts are scored; other columns, languages among them, are not
-    read. The model that is broadcast has SLOTS rows and one column a language.
+    order. Letters are what Unicode calls so. Whole texts are scored; other columns,
+    languages among them, are not read. The model that is broadcast has SLOTS rows
+    and one column a language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
