@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -324,34 +323,35 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _leaves(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """``leaf, n, sum``: the leaves that entries of these columns fall in, added up by task before they are sent."""
+    """``leaf, n, l0 .. l7``: the leaves that entries of these columns fall in, added up by task; the sum in parts of 32 bits."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[int]] = {}
+        counts, sums = [0] * LEAVES, [0] * LEAVES
+        blake = hashlib.blake2b
         for batch in batches:
-            for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = hashlib.blake2b(digest_size=32)
-                for x in entry:
-                    x = x if isinstance(x, bytes) else b"" if x is None else x.to_bytes(8, "big", signed=True)
-                    h.update(len(x).to_bytes(8, "big") + x)
-                value = int.from_bytes(h.digest(), "big")
-                leaf = held.setdefault(value % LEAVES, [0, 0])
-                leaf[0] += 1
-                leaf[1] = (leaf[1] + value) % (1 << 256)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([x.to_bytes(32, "big") for _, x in held.values()], pa.binary())], names=["leaf", "n", "sum"])
+            # what has a fixed length comes first, so that equal bytes mean equal entries
+            fixed = b"".join(c.fill_null(np.iinfo(np.int64).min).to_numpy().astype("<i8").tobytes() for c in batch.columns[:-1])
+            numbers = np.frombuffer(fixed, "<i8").reshape(len(batch.columns) - 1, -1).T.tobytes() if len(batch.columns) > 1 else b""
+            width = 8 * (len(batch.columns) - 1)
+            for i, data in enumerate(batch.columns[-1].to_pylist()):
+                value = int.from_bytes(blake(numbers[i * width : (i + 1) * width] + data, digest_size=32).digest(), "little")
+                counts[value % LEAVES] += 1
+                sums[value % LEAVES] += value
+        held = [k for k in range(LEAVES) if counts[k]]
+        limbs = np.frombuffer(b"".join((sums[k] % (1 << 256)).to_bytes(32, "little") for k in held), "<u4").reshape(-1, 8).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([counts[k] for k in held], pa.int64()), *(pa.array(limbs[:, i]) for i in range(8))], names=["leaf", "n", *_LIMBS])
 
-    return rows.select(*columns).mapInArrow(add, "leaf int, n long, sum binary")
+    return rows.select(*columns).mapInArrow(add, "leaf int, n long, " + ", ".join(f"{x} long" for x in _LIMBS))
 
 
-def _sum_leaf(group: pd.DataFrame) -> pd.DataFrame:
-    total = sum(int.from_bytes(x, "big") for x in group["sum"]) % (1 << 256)
-    return pd.DataFrame({"leaf": [int(group["leaf"].iloc[0])], "n": [int(group["n"].sum())], "sum": [total.to_bytes(32, "big")]})
+_LIMBS = [f"l{i}" for i in range(8)]
 
 
 def _top(leaves: DataFrame) -> tuple[int, str]:
     """Entries and Merkle root from at most LEAVES rows, of which there is one a leaf."""
-    rows = leaves.groupBy("leaf").applyInPandas(_sum_leaf, "leaf int, n long, sum binary").orderBy("leaf").collect()
-    return sum(r.n for r in rows), _merkle([_digest(r.leaf.to_bytes(4, "big") + r.n.to_bytes(8, "big") + bytes(r.sum)) for r in rows]).hex()
+    rows = leaves.groupBy("leaf").agg(*(F.sum(x).alias(x) for x in ("n", *_LIMBS))).orderBy("leaf").collect()
+    total = lambda r: sum(r[x] << 32 * i for i, x in enumerate(_LIMBS)) % (1 << 256)
+    return sum(r.n for r in rows), _merkle([_digest(r.leaf.to_bytes(4, "big") + r.n.to_bytes(8, "big") + total(r).to_bytes(32, "big")) for r in rows]).hex()
 
 
 def _root(rows: DataFrame, columns: tuple[str, ...]) -> tuple[int, str]:
