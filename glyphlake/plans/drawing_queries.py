@@ -34,14 +34,6 @@ def _quoted(c):  # noqa: ANN001, ANN202
 
 
 def binary_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as elements of fifty binary files, most of them in long form."""
-    rows = table(spark, sf_dir, "events")
-    made = binary_files(rows, F.col("event_id") % 50, F.col("event_id"), F.col("event_id") % 9, F.col("event_id") % 128, F.hex(F.when(F.col("event_id") % 3 == 0, F.left("props", F.lit(7))).otherwise(F.col("props"))))
-    found = files.framing.frame_files(made)
-    return found.select(F.col("doc_id").cast("long").alias("doc"), "seq", "class_id", "element_id", F.octet_length("parameters").cast("long").alias("n"), F.md5("parameters").alias("digest"))
-
-
-def binary_framing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as elements of fifty binary files: the type of each third event, the properties of the others, both whole."""
     rows = table(spark, sf_dir, "events")
     made = binary_files(rows, F.col("event_id") % 50, F.col("event_id"), F.col("event_id") % 9, F.col("event_id") % 128, F.hex(F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("props"))))
@@ -192,18 +184,6 @@ def hotspots_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of users are texts, those of others are appended to them."""
-    rows = table(spark, sf_dir, "conversations")
-    clean = F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(60))
-    packed = F.concat(hex_unsigned(F.length(clean), 1), F.hex(clean))
-    user = F.col("role") == "user"
-    made = binary_files(rows, F.col("conv_id"), F.struct(F.lit(1).alias("k"), F.col("turn").cast("long").alias("t")), F.lit(4), F.when(user, 5).otherwise(6), F.when(user, F.concat(hex_f32(F.col("turn").cast("double")), F.lit("3f800000"), packed)).otherwise(packed))
-    declared = F.unhex(F.lit("10620001" + "11820020"))
-    found = P.primitives(files.framing.frame_files(made.select("doc_id", F.concat(declared, "content").alias("content"))))
-    return found.where("kind = 'text'").select(F.col("doc_id").cast("long").alias("conv_id"), F.get("points", F.lit(0))["x"].cast("long").alias("turn"), F.col("text").alias("said"))
-
-
-def text_append_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of turns, in pieces of up to 254 bytes: those of users are texts, all else is appended to them.
 
     Texts of metafiles are read if they are printable ASCII, so all other characters are escaped as in URLs.
@@ -317,7 +297,7 @@ def _polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' lines as polylines of whole coordinates, in binary files."""
     rows = table(spark, sf_dir, "lineitem")
     packed = F.concat(*[hex_signed(c, 2) for c in (F.col("l_quantity"), F.col("l_linenumber"), F.col("l_linenumber") * 2, F.col("l_quantity") + 1)])
-    made = binary_files(rows, F.col("l_orderkey") % 200, F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), F.lit(4), F.lit(1), packed)
+    made = binary_files(rows, F.col("l_orderkey") % 200, F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), F.lit(4), F.lit(1), packed)
     return made.select("doc_id", F.concat(F.unhex(F.lit("10620000" + "11620010")), "content").alias("content"))
 
 
@@ -359,7 +339,7 @@ def command_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (binary_framing, binary_framing_whole, text_to_elements, f32_points, i16_points, i32_points, f64_points, vdc_extents, circles_ellipses, disjoint_segments, gdp_payloads, profile_last_wins, style_carry, color_tables, default_palette, color_scaling, scope_owner, hotspots_geometry, hotspots_region, text_append, text_append_whole, raw_images, tile_grids, tile_arrays_text, tile_positions, tile_arrays_binary, bitonal_pixels, trial_widths, decode_sizes, fax_round_trip, svg_bounds, svg_polylines, element_histogram, prefix_census, command_kinds)
+    for f in (binary_framing, text_to_elements, f32_points, i16_points, i32_points, f64_points, vdc_extents, circles_ellipses, disjoint_segments, gdp_payloads, profile_last_wins, style_carry, color_tables, default_palette, color_scaling, scope_owner, hotspots_geometry, hotspots_region, text_append, raw_images, tile_grids, tile_arrays_text, tile_positions, tile_arrays_binary, bitonal_pixels, trial_widths, decode_sizes, fax_round_trip, svg_bounds, svg_polylines, element_histogram, prefix_census, command_kinds)
 }
 
 _LINE_POINTS = "SELECT l_orderkey, count(*) AS n, CAST(min({x}) AS DOUBLE) AS x_min, CAST(max({x}) AS DOUBLE) AS x_max, CAST(min({y}) AS DOUBLE) AS y_min, CAST(max({y}) AS DOUBLE) AS y_max FROM lineitem GROUP BY l_orderkey"
@@ -372,9 +352,6 @@ _SPOTS = """
 
 SQL = {
     "binary_framing": """
-        SELECT event_id % 50 AS doc, row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) - 1 AS seq, CAST(event_id % 9 AS INTEGER) AS class_id, CAST(event_id % 128 AS INTEGER) AS element_id,
-          CAST(octet_length(encode(CASE WHEN event_id % 3 = 0 THEN left(props, 7) ELSE props END)) AS BIGINT) AS n, md5(CASE WHEN event_id % 3 = 0 THEN left(props, 7) ELSE props END) AS digest FROM events""",
-    "binary_framing_whole": """
         SELECT event_id % 50 AS doc, row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) - 1 AS seq, CAST(event_id % 9 AS INTEGER) AS class_id, CAST(event_id % 128 AS INTEGER) AS element_id,
           CAST(octet_length(encode(CASE WHEN event_id % 3 = 0 THEN event_type ELSE props END)) AS BIGINT) AS n, md5(CASE WHEN event_id % 3 = 0 THEN event_type ELSE props END) AS digest FROM events""",
     "text_to_elements": """
@@ -436,10 +413,6 @@ SQL = {
         )
         SELECT * FROM b WHERE x_min < x_max AND y_min < y_max""",
     "text_append": """
-        WITH c AS (SELECT conv_id, turn, role, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 60) AS t FROM conversations),
-        g AS (SELECT *, sum(CASE WHEN role = 'user' AND t <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS g FROM c)
-        SELECT conv_id, min(turn) AS turn, string_agg(t, '' ORDER BY turn) AS said FROM g WHERE g > 0 AND t <> '' GROUP BY conv_id, g""",
-    "text_append_whole": """
         WITH g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS g FROM conversations WHERE text <> '')
         SELECT conv_id, min(turn) AS turn, string_agg(text, '' ORDER BY turn) AS said FROM g WHERE g > 0 GROUP BY conv_id, g""",
     "raw_images": """
@@ -475,7 +448,7 @@ SQL = {
         WITH l AS (SELECT l_orderkey % 200 AS doc, * FROM lineitem),
         b AS (SELECT doc, least(min(l_quantity), min(l_linenumber * 2)) AS x0, least(min(l_linenumber), min(l_quantity + 1)) AS y0, greatest(max(l_quantity), max(l_linenumber * 2)) AS x1, greatest(max(l_linenumber), max(l_quantity + 1)) AS y1 FROM l GROUP BY 1),
         f AS (SELECT l.doc, string_agg(printf('    <polyline points="%.3f,%.3f %.3f,%.3f" stroke="#000000" stroke-width="1.000" />', CAST(l_quantity AS DOUBLE), CAST(y1 - (l_linenumber - y0) AS DOUBLE), CAST(l_linenumber * 2 AS DOUBLE), CAST(y1 - (l_quantity + 1 - y0) AS DOUBLE)), chr(10)
-          ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS f FROM l JOIN b USING (doc) GROUP BY l.doc),
+          ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS f FROM l JOIN b USING (doc) GROUP BY l.doc),
         s AS (SELECT doc, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || printf('<svg xmlns="http://www.w3.org/2000/svg" viewBox="%.3f %.3f %.3f %.3f">', CAST(x0 AS DOUBLE), CAST(y0 AS DOUBLE), CAST(greatest(1, x1 - x0) AS DOUBLE), CAST(greatest(1, y1 - y0) AS DOUBLE)) || chr(10)
           || '  <g fill="none" stroke-linecap="round" stroke-linejoin="round">' || chr(10) || f || chr(10) || '  </g>' || chr(10) || '</svg>' || chr(10) AS s FROM b JOIN f USING (doc))
         SELECT doc, length(s) AS chars, md5(s) AS digest FROM s""",
