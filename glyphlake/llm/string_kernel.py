@@ -27,6 +27,7 @@ SLOTS = 1 << 16
 PER_LANG = 200
 MAX_SAMPLE = 4000
 LANDMARKS = 400
+SPREAD = 16
 RIDGE = 1e-3
 UNDEFINED = "und"
 
@@ -125,8 +126,10 @@ def train(docs: DataFrame, learnable: Column, *, doc_id: str = "doc_id", text: s
     hashes = with_letters.select("lang", "h").distinct()
     n = hashes.select("lang").distinct().count()
     each = max(1, min(PER_LANG, max_sample // max(1, n)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = hashes.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "h")
+    # the smallest of each part first: a common language is dealt over SPREAD tasks
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("h"))
+    few = hashes.withColumn("part", F.pmod("h", F.lit(SPREAD))).withColumn("rank", rank("part")).where(F.col("rank") <= each)
+    chosen = few.withColumn("rank", rank()).where(F.col("rank") <= each).select("lang", "h")
     rows = with_letters.join(F.broadcast(chosen), ["lang", "h"], "left_semi")
 
     def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
