@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,7 +25,8 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
     """Write ``name, content`` into a folder that all executors see; returns ``path``.
 
     A file is written under another name and moved when it is whole, so a task
-    that runs twice leaves one file. The rows are written when the result is read.
+    that runs twice leaves one file. Two rows of one name are an error: neither
+    may replace the other. The rows are written when the result is read.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +42,9 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
                 paths.append(f"{folder.rstrip('/')}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
 
-    return rows.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(write, "path string")
+    counted = rows.select("name", F.col("content").cast("binary").alias("content"), F.count("*").over(Window.partitionBy("name")).alias("n"))
+    clash = F.raise_error(F.concat(F.lit("several documents would be written as "), F.col("name")))
+    return counted.select("name", F.when(F.col("n") > 1, clash.cast("binary")).otherwise(F.col("content")).alias("content")).mapInArrow(write, "path string")
 
 
 def _stem(doc_id: str = "doc_id"):  # noqa: ANN202

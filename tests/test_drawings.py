@@ -169,3 +169,12 @@ def test_sinks_and_command(spark, files, tmp_path, capsys):
     assert both.hotspots[0].name == "A_ZONE" and both.image.startswith("<?xml")
     (tmp_path / "bad.cgm").write_bytes(V.TRUNCATED)
     assert cli.main([str(tmp_path / "bad.cgm"), str(out)]) == 1 and "Error" in capsys.readouterr().err
+
+
+def test_files_of_one_name_are_an_error(spark, tmp_path):
+    from glyphlake.operators import sinks
+
+    rows = spark.createDataFrame([("a/x.cgm", "one"), ("b/x.cgm", "two")], "doc_id string, svg string")
+    with pytest.raises(Exception, match="several documents would be written as x_0000.svg"):
+        sinks.write_files(sinks.svg_files(rows), str(tmp_path / "clash")).collect()
+    assert [r.path for r in sinks.write_files(sinks.svg_files(rows.limit(1)), str(tmp_path / "one")).collect()] == [f"{tmp_path}/one/x_0000.svg"]
