@@ -118,7 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     if size.short:
         found.append(_search_short(docs, small(items.where(F.size("item") < SPAN), size.shorts, max_seeds), sorted(size.short), doc_id, text))
     if not found:
-        return docs.sparkSession.createDataFrame([], docs.select(F.col(doc_id).alias("doc_id")).schema.add("item_id", benchmark.schema[item_id].dataType).add("hits", "long", False).add("first_token", "int").add("last_token", "int").add("agreeing", "int"))
+        return docs.sparkSession.createDataFrame([], docs.select(F.col(doc_id).alias("doc_id")).schema.add("item_id", benchmark.schema[item_id].dataType).add("hits", "long", False).add("first_token", "integer").add("last_token", "integer").add("agreeing", "integer"))
     hits = reduce(DataFrame.unionByName, found)
     pairs = hits.groupBy("doc_id", "item_key").agg(F.count("*").alias("hits"), F.min("at").alias("first_token"), F.max("at").alias("last_token"), F.max("agreeing").alias("agreeing"))
     # a set holds no nulls: an item without an id has one more row
