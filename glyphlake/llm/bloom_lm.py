@@ -245,6 +245,13 @@ def _asker(folder: str, buckets: int, block_tokens: int):
     return ask
 
 
+def _one_a_task(asked: DataFrame, buckets: int) -> DataFrame:
+    """Each kind and bucket in a slot of its own; by hashes of them several would meet in one task and others in none."""
+    usual = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = asked.withColumn("slot", F.col("kind") * buckets + F.col("bucket"))
+    return slots.repartitionById(max(usual, 2 * buckets), "slot")
+
+
 def _answerer(bits_per_key: int):
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         """All that blocks ask of a bucket: exact counts of tokens, levels of pairs by the bucket's filter segment."""
@@ -335,7 +342,7 @@ def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str =
     with Scratch(spark) as scratch:
         folder = scratch.folder("lm-blocks")
         asked = rows.mapInArrow(_asker(folder, buckets, block_tokens), _ASKED)
-        answered = scratch.stash(dealt(asked, 2 * buckets, "kind", "bucket").groupBy("kind", "bucket").applyInPandas(_answerer(bits_per_key), _ANSWERED), "lm-answers")
+        answered = scratch.stash(_one_a_task(asked, buckets).groupBy("slot").applyInPandas(_answerer(bits_per_key), _ANSWERED), "lm-answers")
         n, v = (int(x or 0) for x in answered.where(F.col("kind") == TOKENS).agg(F.sum("total"), F.sum("distinct")).first())
         blocks = dealt(answered.select("kind", "bucket", "block", "answer"), size // (4 * block_tokens), "block")
         scored = blocks.groupBy("block").applyInPandas(_scorer(folder, n, v, smoothing), _SCORED)
