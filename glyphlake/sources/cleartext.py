@@ -6,6 +6,7 @@ has in a binary metafile, so all that follows reads one kind of table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,6 +49,8 @@ INDEX_TILES = ("INDEXCOLORTILE", "INDEXCOLOURTILE")
 COLOR_TILES = ("COLORTILE", "COLOURTILE", "DIRECTCOLORTILE", "DIRECTCOLOURTILE")
 TILES = (*BITONAL_TILES, *INDEX_TILES, *COLOR_TILES)
 
+SIZE = "struct<width:bigint,height:bigint>"
+
 
 def split(files: DataFrame) -> DataFrame:
     """``doc_id, seq, offset, statement``: statements after stray quotes have been set right.
@@ -61,11 +64,16 @@ def split(files: DataFrame) -> DataFrame:
     return rows.select("doc_id", "seq", "offset", clean.alias("statement")).where(F.size(T.words(F.col("statement"))) > 0)
 
 
+def command_of(statement: Column) -> Column:
+    """The first word, in upper case."""
+    return F.upper(F.get(T.words(statement), F.lit(0)))
+
+
 def tokens(statements: DataFrame) -> DataFrame:
-    """Statements with ``command`` (upper case), ``words``, ``numbers`` and ``strings``. Numbers are read from the whole statement."""
+    """Statements with ``command`` (if they don't have it), ``words``, ``numbers`` and ``strings``. Numbers are read from the whole statement."""
     s = F.col("statement")
-    split_ = statements.withColumns({"words": T.words(s), "numbers": T.numbers(s), "strings": T.strings(s)})
-    return split_.withColumn("command", F.upper(F.get("words", F.lit(0))))
+    named = statements if "command" in statements.columns else statements.withColumn("command", command_of(s))
+    return named.withColumns({"words": T.words(s), "numbers": T.numbers(s), "strings": T.strings(s)})
 
 
 def _number(i: int | Column) -> Column:
@@ -151,36 +159,37 @@ def mapping() -> dict[tuple[int, int], tuple[Column, Column]]:
     return out
 
 
-def tile_size() -> Column:
+def tile_size(numbers: Column) -> Column:
     """``width, height`` of what BEGTILEARRAY opens: the last two numbers of 14, else the seventh and eighth; null where unknown."""
-    n = F.size("numbers")
-    whole = lambda i: F.bround(_number(i))
+    n = F.size(numbers)
+    whole = lambda i: F.bround(F.get(numbers, F.lit(i) if isinstance(i, int) else i))
     pick = lambda a, b: F.struct(a.cast("long").alias("width"), b.cast("long").alias("height"))
     total = (n >= 14) & (whole(n - 2) > 0) & (whole(n - 1) > 0)
     tile = (n >= 8) & (whole(6) > 0) & (whole(7) > 0)
-    unknown = F.lit(None).cast("struct<width:bigint,height:bigint>")
-    return F.when(total, pick(whole(n - 2), whole(n - 1))).when(tile, pick(whole(6), whole(7))).otherwise(unknown)
+    return F.when(total, pick(whole(n - 2), whole(n - 1))).when(tile, pick(whole(6), whole(7))).otherwise(F.lit(None).cast(SIZE))
+
+
+def _tile_as_cells(made: Callable[[Column], Column]) -> Column:
+    """made(parameters) of a tile as a cell array of its array's ``size``; null if it has no payload."""
+    command, statement = F.col("command"), F.col("statement")
+    depth = F.when(command.isin(*INDEX_TILES), 8).when(command.isin(*COLOR_TILES), 24).otherwise(1)
+    cell = lambda head: _u16s([F.coalesce("size.width", F.lit(1)), F.coalesce("size.height", F.lit(1)), F.coalesce(F.bround(F.get(head, F.lit(1))), depth), F.coalesce(F.bround(F.get(head, F.lit(4))), F.lit(0))])
+    head = T.numbers(T.before_payload(statement))
+    return bind(T.hex_payload(statement), lambda payload: F.when(payload != "", made(F.concat(F.lit("00" * 12), bind(head, cell), payload))))
 
 
 def elements(files: DataFrame) -> DataFrame:
     """``doc_id, seq, class_id, element_id, parameters, offset, error`` of clear-text files (``doc_id, content``)."""
-    rows = tokens(split(files))
+    rows = split(files).withColumn("command", command_of(F.col("statement")))
     command = F.col("command")
     # sizes hold from one BEGTILEARRAY to the end of its array; a struct around them keeps "unknown" from being skipped
-    opened = F.when(command == "BEGTILEARRAY", F.struct(tile_size().alias("size"))).when(command == "ENDTILEARRAY", F.struct(F.lit(None).cast("struct<width:bigint,height:bigint>").alias("size")))
+    opened = F.when(command == "BEGTILEARRAY", F.struct(bind(T.numbers(F.col("statement")), tile_size).alias("size"))).when(command == "ENDTILEARRAY", F.struct(F.lit(None).cast(SIZE).alias("size")))
     so_far = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tiles = (
-        rows.where(command.isin("BEGTILEARRAY", "ENDTILEARRAY", *TILES))
-        .withColumn("size", F.last(opened, ignorenulls=True).over(so_far)["size"])
-        .where(command.isin(*TILES))
-        .withColumn("payload", T.hex_payload(F.col("statement")))
-        .where("payload <> ''")
-        .withColumn("head", T.numbers(T.before_payload(F.col("statement"))))
-    )
-    depth = F.when(command.isin(*INDEX_TILES), 8).when(command.isin(*COLOR_TILES), 24).otherwise(1)
-    cell = _u16s([F.coalesce("size.width", F.lit(1)), F.coalesce("size.height", F.lit(1)), F.coalesce(F.bround(F.get("head", F.lit(1))), depth), F.coalesce(F.bround(F.get("head", F.lit(4))), F.lit(0))])
-    found_tiles = tiles.select("doc_id", "seq", F.lit(4).alias("class_id"), F.lit(9).alias("element_id"), F.concat(F.lit("00" * 12), cell, "payload").alias("hex"), "offset")
+    # by the partitions and the order of the offsets, so it needs no shuffle or sort of its own
+    rows = tokens(rows.withColumn("size", F.last(opened, ignorenulls=True).over(so_far)["size"]))
     kinds = mapping()
-    choice = reduce(lambda c, k: c.when(kinds[k][0], F.struct(F.lit(k[0]).alias("class_id"), F.lit(k[1]).alias("element_id"), kinds[k][1].alias("hex"))), list(kinds)[1:], F.when(kinds[next(iter(kinds))][0], F.struct(*[x.alias(n) for x, n in zip((F.lit(next(iter(kinds))[0]), F.lit(next(iter(kinds))[1]), kinds[next(iter(kinds))][1]), ("class_id", "element_id", "hex"), strict=True)])))
-    mapped = rows.withColumn("e", choice).where("e is not null").select("doc_id", "seq", "e.class_id", "e.element_id", "e.hex", "offset")
-    return mapped.unionByName(found_tiles).select("doc_id", "seq", "class_id", "element_id", F.unhex("hex").alias("parameters"), "offset", F.lit(None).cast("string").alias("error"))
+    element = lambda key, hex_: F.array(F.struct(F.lit(key[0]).alias("class_id"), F.lit(key[1]).alias("element_id"), hex_.alias("hex")))
+    choice = reduce(lambda c, k: c.when(kinds[k][0], element(k, kinds[k][1])), kinds, F.when(command.isin(*TILES), _tile_as_cells(lambda hex_: element((4, 9), hex_))))
+    # exploded, not filtered: a filter would evaluate the choice a second time
+    found = rows.select("doc_id", "seq", "offset", F.explode_outer(choice).alias("e")).where("e.class_id is not null")
+    return found.select("doc_id", "seq", "e.class_id", "e.element_id", F.unhex("e.hex").alias("parameters"), "offset", F.lit(None).cast("string").alias("error"))
