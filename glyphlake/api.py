@@ -63,7 +63,7 @@ def final_images_and_hotspots(files: DataFrame, parsed: DataFrame | None = None)
 
     both = _parsed(files, parsed)
     spots = _hotspots.hotspots(both)
-    listed = spots.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in spots.columns if c != "doc_id"]))).alias("hotspots"))
+    listed = spots.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in spots.columns if c != "doc_id"]))).alias("hotspots"))
     return _svg.vector_svg(files, both).withColumnRenamed("svg", "image").join(listed, "doc_id", "left").withColumn("hotspots", F.coalesce("hotspots", F.from_json(F.lit("[]"), dict(listed.dtypes)["hotspots"])))
 
 

@@ -70,7 +70,7 @@ def analyze(rows: DataFrame, key: list[str], payload: str = "payload") -> DataFr
         F.sum(F.when(F.col("byte").between(32, 126), F.col("share")).otherwise(0.0)).alias("ascii_share"),
         F.sum(F.when(F.col("byte").between(32, 126), F.col("count")).otherwise(0)).alias("printable"),
         (-F.sum(F.col("share") * F.log2("share"))).alias("entropy"),
-        F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.struct(x["byte"].alias("byte"), x["count"].alias("count"))).alias("top_bytes"),
+        F.transform(F.sort_array(F.collect_list(entry)), lambda x: F.struct(x["byte"].alias("byte"), x["count"].alias("count"))).alias("top_bytes"),
     )
     b = F.col(payload)
     ratio = F.when(size(b) > 0, F.col("printable") / size(b)).otherwise(0.0)

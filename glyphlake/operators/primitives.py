@@ -46,7 +46,7 @@ def primitives(elements: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("text_no", F.sum(F.when(is_text, 1).otherwise(0)).over(so_far))
     spoken = rows.where((is_text | e.isin(4, 6)) & (F.col("text_no") > 0) & F.col("own").isNotNull())
-    texts = spoken.groupBy("doc_id", "text_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "own"))), lambda x: x["own"]), "").alias("whole"))
+    texts = spoken.groupBy("doc_id", "text_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "own"))), lambda x: x["own"]), "").alias("whole"))
     rows = rows.join(texts, ["doc_id", "text_no"], "left")
 
     one = lambda x, y: F.array(F.struct(x.alias("x"), y.alias("y")))

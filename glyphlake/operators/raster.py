@@ -58,7 +58,7 @@ def _tile(r: dict) -> I.Image | None:
 
 def _gathered(rows: DataFrame, order: str, *sizes: str) -> DataFrame:
     entry = F.struct(order, F.struct("href", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]).alias("o"))
-    return rows.groupBy("doc_id", *sizes).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["o"]).cast(OVERLAYS).alias("overlays"))
+    return rows.groupBy("doc_id", *sizes).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["o"]).cast(OVERLAYS).alias("overlays"))
 
 
 def tile_overlays(tiles_: DataFrame, elements: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def json_files(texts: DataFrame) -> DataFrame:
 def hotspot_files(docs: DataFrame, spots: DataFrame) -> DataFrame:
     """``<stem>_0000.hotspots.json`` of every document: a list, empty where there is none."""
     fields = [c for c in spots.columns if c != "doc_id"]
-    listed = spots.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*fields))), {"ignoreNullFields": "false"}).alias("list"))
+    listed = spots.groupBy("doc_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*fields))), {"ignoreNullFields": "false"}).alias("list"))
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id")).join(listed, "doc_id", "left")
     return _indented(rows.select(F.concat(_stem(), F.lit("_0000.hotspots.json")).alias("name"), F.coalesce("list", F.lit("[]")).alias("json")))
 
@@ -77,7 +77,7 @@ def report_files(docs: DataFrame, arrays: DataFrame, images: DataFrame) -> DataF
     """``<stem>_decode_report.json``: the tile arrays of each document and how many raw images it has."""
     fields = ["array_index", "cols", "rows", "tile_width", "tile_height", "total_width", "total_height"]
     entry = F.struct(*fields, F.size("tiles").alias("tile_count"))
-    of_arrays = arrays.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("arrays"))
+    of_arrays = arrays.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("arrays"))
     of_images = images.groupBy("doc_id").agg(F.count("*").alias("raw_image_count"))
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id")).join(of_arrays, "doc_id", "left").join(of_images, "doc_id", "left")
     none = F.from_json(F.lit("[]"), dict(of_arrays.dtypes)["arrays"])

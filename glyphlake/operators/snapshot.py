@@ -20,7 +20,7 @@ def element_histogram(elements: DataFrame) -> DataFrame:
 
 def _list(rows: DataFrame, name: str, order: list[Column], *fields: Column) -> DataFrame:
     entry = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*fields).alias("item"))
-    return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["item"]).alias(name))
+    return rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["item"]).alias(name))
 
 
 def snapshots(files: DataFrame, elements: DataFrame) -> DataFrame:

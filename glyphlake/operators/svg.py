@@ -103,7 +103,7 @@ def compose(docs: DataFrame, prims: DataFrame, states: DataFrame, table: DataFra
     lines = fragments(P.colors(prims, table).join(frame.select("doc_id", "y0", "y1", "clip_attr"), "doc_id"))
     text_rank = P.KINDS.index("text")
     part = lambda keep: F.transform(F.filter("all", keep), lambda f: f["fragment"])
-    drawn = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "seq", "sub", "fragment"))).alias("all")).select("doc_id", part(lambda f: f["rank"] < text_rank).alias("shapes"), part(lambda f: f["rank"] >= text_rank).alias("texts"))
+    drawn = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "seq", "sub", "fragment"))).alias("all")).select("doc_id", part(lambda f: f["rank"] < text_rank).alias("shapes"), part(lambda f: f["rank"] >= text_rank).alias("texts"))
     whole = frame.join(images, "doc_id", "left").join(drawn, "doc_id", "left")
     none = F.array().cast("array<string>")
     box = [fixed3(F.col(k)) for k in ("x0", "y0", "width", "height")]

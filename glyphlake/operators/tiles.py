@@ -85,7 +85,7 @@ def tiles(files: DataFrame, elements: DataFrame) -> DataFrame:
 def tile_arrays(tiles_: DataFrame) -> DataFrame:
     """``doc_id, array_index``, the header and ``tiles`` in their order."""
     entry = F.struct("tile_index", F.struct(*TILE).alias("tile"))
-    return tiles_.groupBy("doc_id", "array_index", *HEADER).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["tile"]).alias("tiles"))
+    return tiles_.groupBy("doc_id", "array_index", *HEADER).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["tile"]).alias("tiles"))
 
 
 def placed(tiles_: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_files(rows: DataFrame, doc: Column, order: Column, statement: Column) -> DataFrame:
     """``doc_id, content``: the statements of each document in order, with semicolons behind them."""
     said = rows.select(doc.cast("string").alias("doc_id"), F.struct(order.alias("o"), statement.alias("s")).alias("x")).where("x.s is not null")
-    listed = said.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("all"))
+    listed = said.groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("all"))
     return listed.select("doc_id", F.concat(F.array_join(F.transform("all", lambda x: x["s"]), "; "), F.lit(";")).cast("binary").alias("content"))
 
 
@@ -33,5 +33,5 @@ def element_hex(class_id: Column, element_id: Column, parameters: Column) -> Col
 def binary_files(rows: DataFrame, doc: Column, order: Column, class_id: Column, element_id: Column, parameters: Column) -> DataFrame:
     """``doc_id, content``: the elements of each document in order."""
     made = rows.select(doc.cast("string").alias("doc_id"), F.struct(order.alias("o"), element_hex(class_id, element_id, parameters).alias("h")).alias("x"))
-    listed = made.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("all"))
+    listed = made.groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("all"))
     return listed.select("doc_id", F.unhex(F.array_join(F.transform("all", lambda x: x["h"]), "")).alias("content"))
