@@ -30,6 +30,11 @@ def _quoted(c):  # noqa: ANN001, ANN202
     return F.concat(F.lit('"'), c, F.lit('"'))
 
 
+def _framed(made: DataFrame) -> DataFrame:
+    """Elements as a table of their own, for what reads them several times."""
+    return materialize(files.framing.frame_files(made), "elements")
+
+
 # --- reading
 
 
@@ -68,7 +73,7 @@ def _profile_points(spark: SparkSession, sf_dir: str, head: list[tuple[int, str]
     declared = rows.select("l_orderkey").distinct()
     for i, (element, value) in enumerate(head):
         rows = rows.unionByName(declared.select("l_orderkey", F.struct(F.lit(0).alias("k"), F.lit(i).alias("l")).alias("o"), F.lit(1).alias("c"), F.lit(element).alias("e"), F.lit(value).alias("h")))
-    found = P.decoded(files.framing.frame_files(binary_files(rows, F.col("l_orderkey"), F.col("o"), F.col("c"), F.col("e"), F.col("h"))))
+    found = P.decoded(_framed(binary_files(rows, F.col("l_orderkey"), F.col("o"), F.col("c"), F.col("e"), F.col("h"))))
     each = found.select(F.col("doc_id").cast("long").alias("l_orderkey"), F.explode("points").alias("p"))
     return each.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("p.x").alias("x_min"), F.max("p.x").alias("x_max"), F.min("p.y").alias("y_min"), F.max("p.y").alias("y_max"))
 
@@ -99,7 +104,7 @@ def circles_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def disjoint_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda x: F.struct(x["l_partkey"].cast("double").alias("x"), x["l_quantity"].alias("y")))
+    pts = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda x: F.struct(x["l_partkey"].cast("double").alias("x"), x["l_quantity"].alias("y")))
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(pts.alias("p"))
     return rows.select("l_orderkey", F.posexplode(D.segments(F.col("p"))).alias("k", "s")).select("l_orderkey", F.col("k").cast("long").alias("k"), F.get("s", F.lit(0))["x"].alias("from_x"), F.get("s", F.lit(1))["x"].alias("to_x"))
 
@@ -302,7 +307,7 @@ def _polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def svg_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = files.framing.frame_files(_polylines(spark, sf_dir))
+    found = _framed(_polylines(spark, sf_dir))
     b = P.bounds(P.primitives(found), state.drawing_state(found))
     return b.select(F.col("doc_id").cast("long").alias("doc"), "x_min", "y_min", "x_max", "y_max")
 
@@ -310,7 +315,7 @@ def svg_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svg_polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of whole drawings of polylines."""
     made = _polylines(spark, sf_dir)
-    found = files.framing.frame_files(made)
+    found = _framed(made)
     none = spark.createDataFrame([], f"doc_id string, total_width long, total_height long, overlays {raster.OVERLAYS}, href string")
     drawn = svg.compose(made, materialize(P.primitives(found), "primitives"), state.drawing_state(found), state.color_table(found), none)
     return drawn.select(F.col("doc_id").cast("long").alias("doc"), F.length("svg").cast("long").alias("chars"), F.md5("svg").alias("digest"))
