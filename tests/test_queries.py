@@ -56,7 +56,7 @@ def test_appended_texts_are_whole(spark):
             begin[r.conv_id] = r.turn
         if r.conv_id in begin:
             want[r.conv_id, begin[r.conv_id]] += r.text or ""
-    got = {(r.conv_id, r.turn): r.said for r in entry().queries()["text_append_whole"](spark, SF).collect()}
+    got = {(r.conv_id, r.turn): r.said for r in entry().queries()["text_append"](spark, SF).collect()}
     assert got == want and max(map(len, got.values())) > 255
 
 
