@@ -31,10 +31,10 @@ def svgs(all_files, parsed):
 def test_hotspots(all_files, parsed):
     got = {r.doc_id: r for r in api.hotspots(all_files, parsed).collect()}
     box = lambda k: (got[k].source_tag, got[k].name, got[k].x_min, got[k].y_min, got[k].x_max, got[k].y_max)
-    assert box("hotspot_region") == ("SPOT1", "A_ZONE", 248, 508, 267, 527)
-    assert box("hotspot_geometry") == ("AUTOID_1", "AUTOID_1", 10, 20, 32, 40)
-    assert box("t_hotspot_text") == ("SPOT_TEXT", "ZONE_TEXT", 10, 20, 30, 40)
-    assert got["t_stray_quote"].name == "ZONE" and got["hotspot_region"].raw_region_hex.endswith("00f801fc010b020f")
+    assert box("hotspot_region") == ("PUMP-7", "INLET", 90, 40, 130, 75)
+    assert box("hotspot_geometry") == ("SEAL_3", "SEAL_3", 4, 2, 15, 15)
+    assert box("t_hotspot_text") == ("FLANGE", "GASKET", 3, 8, 21, 33)
+    assert got["t_stray_quote"].name == "LEFT" and got["hotspot_region"].raw_region_hex.endswith("005a00280082004b")
     assert len(got) == 4
 
 
@@ -145,8 +145,8 @@ def test_snapshot(all_files, parsed):
     assert list(s) == ["byte_length", "element_count", "element_histogram", "elements", "element29_analysis", "raw_images", "hotspots", "vector_svg"]
     assert s["byte_length"] == len(V.BINARY["hotspot_region"]) and s["element_count"] == 4
     assert s["element_histogram"][0] == {"class_id": 9, "element_id": 1, "count": 2}
-    assert s["elements"][0] == {"offset": 0, "class_id": 0, "element_id": 21, "parameter_length": 8, "parameters_hex": "0553504f54310000"}
-    assert s["hotspots"][0]["name"] == "A_ZONE" and s["raw_images"] == []
+    assert s["elements"][0] == {"offset": 0, "class_id": 0, "element_id": 21, "parameter_length": 9, "parameters_hex": "0650554d502d370000"}
+    assert s["hotspots"][0]["name"] == "INLET" and s["raw_images"] == []
     assert got["short_padded"]["raw_images"][0]["width"] is None
     assert got["restricted"]["element29_analysis"][0]["decode_candidates"] == [] and got["empty"]["element_count"] == 0
 
@@ -159,14 +159,14 @@ def test_sinks_and_command(spark, files, tmp_path, capsys):
     names = sorted(p.rsplit("/", 1)[1] for p in capsys.readouterr().out.split())
     assert names == sorted(f"{s}{e}" for s in ("hotspot_region", "rgb_cell", "tiles") for e in ("_0000.svg", "_0000.hotspots.json", "_decode_report.json"))
     out = tmp_path / "out"
-    assert json.loads((out / "hotspot_region_0000.hotspots.json").read_text())[0]["x_min"] == 248
+    assert json.loads((out / "hotspot_region_0000.hotspots.json").read_text())[0]["x_min"] == 90
     assert (out / "rgb_cell_0000.hotspots.json").read_text() == "[]\n"
     report = json.loads((out / "tiles_decode_report.json").read_text())
     assert report["arrays"][0]["tile_count"] == 2 and report["raw_image_count"] == 2 and report["source"].endswith("tiles.cgm")
     read = api.read_metafiles(spark, str(tmp_path))
     assert api.write_raw_images(read, str(out)).count() == 3 and (out / "rgb_cell_0000.bin").read_bytes() == bytes.fromhex("ff000000ff00")
     both = api.final_images_and_hotspots(read.where("doc_id like '%region%'")).first()
-    assert both.hotspots[0].name == "A_ZONE" and both.image.startswith("<?xml")
+    assert both.hotspots[0].name == "INLET" and both.image.startswith("<?xml")
     (tmp_path / "bad.cgm").write_bytes(V.TRUNCATED)
     assert cli.main([str(tmp_path / "bad.cgm"), str(out)]) == 1 and "Error" in capsys.readouterr().err
 
