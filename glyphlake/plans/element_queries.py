@@ -14,7 +14,7 @@ from glyphlake.functions.bytes import hex_f32, hex_unsigned
 from glyphlake.operators import diagnostics, raster, sinks, state, tiles
 from glyphlake.plans.synth import binary_files, table, text_files
 from glyphlake.sources import cleartext, files
-from glyphlake.sources.work import materialize, work_dir
+from glyphlake.sources.work import dealt, materialize, work_dir
 
 # --- SQL for bytes
 
@@ -210,16 +210,16 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
         (4, 7, f(0, 0, 100, 0, 100, 100, 0, 100)), (4, 1, f(1, 2, a, b)), (4, 2, f(1, 1, 2, 2, 3, 3, a, 4)), (4, 3, f(a, b, b, a)), (4, 11, f(a, b, 10, 20)), (4, 12, f(50, 50, a)), (4, 17, f(50, 50, F.lit(50) + a, 50, 50, 55)),
         (4, 5, F.concat(f(a, b), counted(said))), (4, 6, counted(F.lit(" more"))), (5, 4, F.lit("c8")), (4, 29, F.concat(u(30, 9, a, b), counted(F.lit("R")))), (4, 1, f(1000, 1000, a, 1)), (4, 10, f(1, 2, 3, a)), (5, 3, f(3)), (5, 3, f(-1)),
     ]
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("a"), (F.col("p_partkey") % 40).alias("b"))
-    each = rows.select("k", F.posexplode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(e).alias("e"), h.alias("h")) for c, e, h in listed])).alias("j", "x"))
-    return binary_files(each, F.col("k"), F.col("j"), F.col("x.c"), F.col("x.e"), F.col("x.h"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("a"), (F.col("p_partkey") % 40).alias("b"))
+    each = dealt(rows, "doc_id").select("doc_id", F.posexplode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(e).alias("e"), h.alias("h")) for c, e, h in listed])).alias("j", "x"))
+    return binary_files(each, F.col("doc_id"), F.col("j"), F.col("x.c"), F.col("x.e"), F.col("x.h"))
 
 
 def drawing_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawings of every kind of primitive, written as files: what the files hold."""
     folder = _folder(spark, "drawings")
-    made = _mixed(spark, sf_dir)
-    return _read_back(api.write_vector_svg(made, folder, files.framing.frame_files(made)), folder)
+    made = materialize(_mixed(spark, sf_dir), "files")
+    return _read_back(api.write_vector_svg(made, folder, files.framing.frame_files(made)))
 
 
 def _drawing_sql() -> str:
@@ -424,11 +424,14 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _read_back(written: DataFrame, folder: str) -> DataFrame:
-    """``name, bytes, digest`` of what has been written, from the files themselves."""
-    written.count()
-    found = written.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.md5("content").alias("digest"))
+def _written(paths: DataFrame) -> DataFrame:
+    """``path, content`` of what has been written, all of it before the first file is read; from the files themselves."""
+    return sinks.read_files(dealt(materialize(paths, "paths"), "path"))
+
+
+def _read_back(paths: DataFrame) -> DataFrame:
+    """``name, bytes, digest`` of what has been written."""
+    return _written(paths).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
 
 
 def files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,7 +447,7 @@ def payload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads of cell arrays, one file each."""
     folder = _folder(spark, "payloads")
     made = _celled(spark, sf_dir)
-    return _read_back(api.write_raw_images(made, folder, files.framing.frame_files(made)), folder)
+    return _read_back(api.write_raw_images(made, folder, files.framing.frame_files(made)))
 
 
 _PAYLOAD_FILES_SQL = """
@@ -460,7 +463,7 @@ def hotspot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.when(k % 2 == 0, F.array(F.concat(F.lit("BEGAPS "), name), region, F.lit("ENDAPS"))).otherwise(F.array(F.lit("LINE 0 0 1 1")))).alias("j", "s"))
     folder = _folder(spark, "hotspots")
     made = text_files(each, k, F.col("j"), F.col("s"))
-    return _read_back(api.write_hotspots(made, folder, cleartext.elements(made).drop("error")), folder)
+    return _read_back(api.write_hotspots(made, folder, cleartext.elements(made).drop("error")))
 
 
 _HOTSPOT_FILES_SQL = """

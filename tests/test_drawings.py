@@ -178,3 +178,17 @@ def test_files_of_one_name_are_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="several documents would be written as x_0000.svg"):
         sinks.write_files(sinks.svg_files(rows), str(tmp_path / "clash")).collect()
     assert [r.path for r in sinks.write_files(sinks.svg_files(rows.limit(1)), str(tmp_path / "one")).collect()] == [f"{tmp_path}/one/x_0000.svg"]
+
+
+def test_files_are_read_by_their_tasks(spark, tmp_path):
+    from glyphlake.operators import sinks
+
+    contents = {"a b.svg": b"\x00\xff\n", "c%20d#e.svg": b"", "\u00e9.svg": bytes(9 << 20), "f.svg": b"last\n"}
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in contents.items()], "name string, content binary").coalesce(1)
+    for folder in (str(tmp_path / "plain"), f"file://{tmp_path}/uri"):
+        paths = spark.createDataFrame([(r.path,) for r in sinks.write_files(rows, folder).collect()], "path string").coalesce(1)
+        found = sinks.read_files(paths)
+        assert found.inputFiles() == [] and {r.path.rpartition("/")[2]: bytes(r.content) for r in found.collect()} == contents
+    gone = spark.createDataFrame([(f"{tmp_path}/plain/none.svg",)], "path string")
+    with pytest.raises(Exception, match="none.svg"):
+        sinks.read_files(gone).collect()

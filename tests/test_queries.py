@@ -60,6 +60,22 @@ def test_appended_texts_are_whole(spark):
     assert got == want and max(map(len, got.values())) > 255
 
 
+@pytest.mark.parametrize("name", ["drawing_kinds", "payload_files", "hotspot_files"])
+def test_written_files_are_not_listed_by_the_driver(spark, name):
+    """A file a document: a plan that lists them grows with the documents, in memory and in tasks of a few files each."""
+    found = entry().queries()[name](spark, SF)
+    assert not [f for f in found.inputFiles() if not f.endswith(".parquet")]
+    assert found.count() == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+@pytest.mark.parametrize("made", ["_mixed"])
+def test_documents_of_a_small_table_are_made_in_many_tasks(spark, made):
+    from glyphlake.plans import element_queries
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert getattr(element_queries, made)(spark, SF).rdd.getNumPartitions() == n > 1
+
+
 def test_entry(spark):
     df = entry().entry(spark)
     assert df.count() > 0 and "source_tag" in df.columns
