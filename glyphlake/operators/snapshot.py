@@ -9,7 +9,7 @@ from glyphlake.functions.bytes import size
 from glyphlake.operators.diagnostics import analyze
 from glyphlake.operators.hotspots import hotspots
 from glyphlake.operators.images import raw_images
-from glyphlake.operators.svg import vector_svg
+from glyphlake.operators.svg import drawings
 from glyphlake.sources.work import materialize
 
 
@@ -38,7 +38,7 @@ def snapshots(files: DataFrame, elements: DataFrame) -> DataFrame:
     areas = _list(spots, "hotspots", [F.col("index")], *[F.col(c) for c in spots.columns if c != "doc_id"])
     out = files.select(F.col("doc_id").cast("string").alias("doc_id"), size(F.col("content")).alias("byte_length"))
     parts = (kinds, listed, studies, images, areas)
-    for part in (*parts, materialize(vector_svg(files, elements), "drawings").withColumnRenamed("svg", "vector_svg")):
+    for part in (*parts, materialize(drawings(files, elements), "drawings").withColumnRenamed("svg", "vector_svg")):
         out = out.join(part, "doc_id", "left")
     whole = F.struct(
         "byte_length",

@@ -90,7 +90,11 @@ def vector_svg(files: DataFrame, elements: DataFrame) -> DataFrame:
     Elements, primitives and rasters are each read several times, so each is
     written once as a table in the session's shared folder.
     """
-    elements = materialize(elements, "elements")
+    return drawings(files, materialize(elements, "elements"))
+
+
+def drawings(files: DataFrame, elements: DataFrame) -> DataFrame:
+    """The same of elements that are a table already."""
     images = materialize(rasters(files, elements), "rasters")
     states = materialize(state.drawing_state(elements), "states")
     return compose(files, materialize(P.primitives(elements), "primitives"), states, state.color_table(elements), images)

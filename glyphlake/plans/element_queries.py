@@ -280,10 +280,9 @@ _SNAPSHOT = """byte_length long, element_count long, element_histogram array<str
 def snapshot_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots written as JSON files, read again: sizes, elements in order, kinds by frequency, images and hotspots."""
     folder = _folder(spark, "snapshots")
-    made = _celled(spark, sf_dir)
-    api.write_data_json(made, folder, files.framing.frame_files(made)).count()
-    texts = spark.read.text(folder, wholetext=True)
-    found = texts.select(F.regexp_extract(F.input_file_name(), "([0-9]+)_0000\\.json$", 1).cast("long").alias("doc"), F.from_json("value", _SNAPSHOT).alias("x"))
+    made = materialize(_celled(spark, sf_dir), "files")
+    texts = _written(api.write_data_json(made, folder, files.framing.frame_files(made)))
+    found = texts.select(F.regexp_extract("path", "([0-9]+)_0000\\.json$", 1).cast("long").alias("doc"), F.from_json(F.col("content").cast("string"), _SNAPSHOT).alias("x"))
     listed = F.array_join(F.transform("x.elements", lambda e: F.concat_ws("/", e["class_id"].cast("string"), e["element_id"].cast("string"), e["offset"].cast("string"), e["parameter_length"].cast("string"))), " ")
     kinds = F.array_join(F.transform("x.element_histogram", lambda e: F.concat_ws("/", e["class_id"].cast("string"), e["element_id"].cast("string"), e["count"].cast("string"))), " ")
     image = F.get("x.raw_images", F.lit(0))
@@ -332,8 +331,9 @@ def _celled(spark: SparkSession, sf_dir: str) -> DataFrame:
     many = lambda n: F.concat(*[byte(m) for m in range(1, n + 1)])
     payload = F.when(r == 0, many(6)).when(r == 1, many(36)).when(r == 2, many(18)).when(r == 3, many(2)).otherwise(many(24))
     listed = [(2, 6, F.lit("0000000000030002")), (1, 10, F.lit("000000000000" + "0fff1fff3fff")), (5, 34, F.lit("0a010203")), (4, 9, F.concat(F.lit("00" * 12 + "00030002"), precision, F.lit("0000"), payload))]
-    each = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(e).alias("e"), h.alias("h")) for c, e, h in listed])).alias("j", "x"))
-    return binary_files(each, F.col("p_partkey"), F.col("j"), F.col("x.c"), F.col("x.e"), F.col("x.h"))
+    rows = dealt(table(spark, sf_dir, "part").select(k.cast("string").alias("doc_id"), k), "doc_id")
+    each = rows.select("doc_id", F.posexplode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(e).alias("e"), h.alias("h")) for c, e, h in listed])).alias("j", "x"))
+    return binary_files(each, F.col("doc_id"), F.col("j"), F.col("x.c"), F.col("x.e"), F.col("x.h"))
 
 
 def cell_backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -476,8 +476,8 @@ def decode_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of each document's rasters, written as files: their numbers."""
     made, folder = _celled(spark, sf_dir), _folder(spark, "reports")
     parsed = files.framing.frame_files(made)
-    sinks.write_files(sinks.report_files(made, api.tile_arrays(made, parsed), api.raw_images(made, parsed)), folder).count()
-    texts = spark.read.text(folder, wholetext=True).select(F.from_json("value", "source string, arrays array<struct<cols:int>>, raw_image_count long").alias("r"))
+    written = sinks.write_files(sinks.report_files(made, api.tile_arrays(made, parsed), api.raw_images(made, parsed)), folder)
+    texts = _written(written).select(F.from_json(F.col("content").cast("string"), "source string, arrays array<struct<cols:int>>, raw_image_count long").alias("r"))
     return texts.select("r.source", F.size("r.arrays").cast("long").alias("arrays"), F.col("r.raw_image_count").alias("images"))
 
 

@@ -60,7 +60,7 @@ def test_appended_texts_are_whole(spark):
     assert got == want and max(map(len, got.values())) > 255
 
 
-@pytest.mark.parametrize("name", ["drawing_kinds", "payload_files", "hotspot_files"])
+@pytest.mark.parametrize("name", ["drawing_kinds", "payload_files", "hotspot_files", "snapshot_fields", "decode_reports"])
 def test_written_files_are_not_listed_by_the_driver(spark, name):
     """A file a document: a plan that lists them grows with the documents, in memory and in tasks of a few files each."""
     found = entry().queries()[name](spark, SF)
@@ -68,7 +68,7 @@ def test_written_files_are_not_listed_by_the_driver(spark, name):
     assert found.count() == spark.read.parquet(f"{SF}/part.parquet").count()
 
 
-@pytest.mark.parametrize("made", ["_mixed"])
+@pytest.mark.parametrize("made", ["_mixed", "_celled"])
 def test_documents_of_a_small_table_are_made_in_many_tasks(spark, made):
     from glyphlake.plans import element_queries
 
